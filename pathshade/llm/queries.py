@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathshade.llm.chat_format import format_preferences
 from pathshade.llm.fingerprints import fingerprint_edits
+from pathshade.llm.mixing import mix_sizes
 from pathshade.llm.topk_search import exact_topk, quantised, usable
 
 
@@ -13,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sizes(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").where(usable("embedding")).select("vec_id", quantised("embedding").alias("vector"))
     return exact_topk(vectors.where("vec_id % 50 = 0"), vectors, k=5)
@@ -30,7 +35,7 @@ def op7_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"chosen_mask": spans("chosen_mask"), "rejected_mask": spans("rejected_mask")})
 
 
-QUERIES = {"op5_exact_topk": op5_exact_topk, "op6_fingerprints": op6_fingerprints, "op7_chat_preferences": op7_chat_preferences}
+QUERIES = {"op4_mixing": op4_mixing, "op5_exact_topk": op5_exact_topk, "op6_fingerprints": op6_fingerprints, "op7_chat_preferences": op7_chat_preferences}
 
 ORACLES = {
     "op5_exact_topk": """

@@ -7,13 +7,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pathshade.llm.chat_format import format_preferences
 from pathshade.llm.fingerprints import fingerprint_edits
 from pathshade.llm.mixing import mix_sizes
+from pathshade.llm.pieces import encode_digests, token_counts
 from pathshade.llm.topk_search import exact_topk, quantised, usable
+from pathshade.llm.warc import deduplicated_pages
+
+#: The piece model of the queries; the operators take any path.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = deduplicated_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -35,9 +49,32 @@ def op7_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"chosen_mask": spans("chosen_mask"), "rejected_mask": spans("rejected_mask")})
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op5_exact_topk": op5_exact_topk, "op6_fingerprints": op6_fingerprints, "op7_chat_preferences": op7_chat_preferences}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+QUERIES = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_mixing": op4_mixing,
+    "op5_exact_topk": op5_exact_topk,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_chat_preferences": op7_chat_preferences,
+    "op10_token_counts": op10_token_counts,
+}
 
 ORACLES = {
+    "op1_warc_revisits": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1
+)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN f.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+""",
     "op5_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256.0 * CAST(x AS DOUBLE))) AS e

@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pathshade.llm.ship import shipped
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE = 150_000  # words a worker remembers
@@ -207,21 +209,21 @@ def _mapped(docs: DataFrame, make, columns: list[tuple[str, str, pa.DataType]],
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """doc_id, ids, score of every whole text; a null text is empty and has no ids."""
-    model = docs.sparkSession.sparkContext.broadcast(PieceModel.load(path))
+    model = shipped(docs.sparkSession, PieceModel.load(path))
 
     def make():
-        return ViterbiEncoder(model.value).encode
+        return ViterbiEncoder(model()).encode
 
     return _mapped(docs, make, [("ids", "array<int>", pa.list_(pa.int32())), ("score", "double", pa.float64())], id_col)
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """doc_id, text from doc_id, ids (null ids: an empty text)."""
-    model = tokens.sparkSession.sparkContext.broadcast(PieceModel.load(path))
+    model = shipped(tokens.sparkSession, PieceModel.load(path))
     schema = pa.schema([(id_col, pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        f = ViterbiEncoder(model.value).decode
+        f = ViterbiEncoder(model()).decode
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -233,10 +235,10 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, score, ids_sha256 (of the ids as little-endian 32-bit
     integers) and whether decoding gives the text again. Null texts are empty."""
-    model = docs.sparkSession.sparkContext.broadcast(PieceModel.load(path))
+    model = shipped(docs.sparkSession, PieceModel.load(path))
 
     def make():
-        coder = ViterbiEncoder(model.value)
+        coder = ViterbiEncoder(model())
 
         def one(text: str):
             ids, score = coder.encode(text)
@@ -318,10 +320,10 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_tokens (an unknown word is one token), n_unknown of
     every whole text; null and empty texts have none."""
-    counter = docs.sparkSession.sparkContext.broadcast(LongestMatchCounter.of(PieceModel.load(path)))
+    counter = shipped(docs.sparkSession, LongestMatchCounter.of(PieceModel.load(path)))
 
     def make():
-        count, cache = counter.value.count, {}
+        count, cache = counter().count, {}
 
         class Counts(dict):
             def __missing__(self, word):

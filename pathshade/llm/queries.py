@@ -8,7 +8,9 @@ from pathshade.llm.chat_format import format_preferences
 from pathshade.llm.fingerprints import fingerprint_edits
 from pathshade.llm.mixing import mix_sizes
 from pathshade.llm.pieces import encode_digests, token_counts
+from pathshade.llm.sentences import without_repeats
 from pathshade.llm.topk_search import exact_topk, quantised, usable
+from pathshade.llm.toxicity import scored, train
 from pathshade.llm.warc import deduplicated_pages
 
 #: The piece model of the queries; the operators take any path.
@@ -24,6 +26,11 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_sentences, n_removed and the text that is left."""
+    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -49,17 +56,24 @@ def op7_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"chosen_mask": spans("chosen_mask"), "rejected_mask": spans("rejected_mask")})
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op2_sentence_spans": op2_sentence_spans,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_mixing": op4_mixing,
     "op5_exact_topk": op5_exact_topk,
     "op6_fingerprints": op6_fingerprints,
     "op7_chat_preferences": op7_chat_preferences,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 

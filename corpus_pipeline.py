@@ -1,11 +1,64 @@
-"""The corpus pipeline (filled in below as its stages are built)."""
+"""The corpus pipeline: five stages over ``documents``.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``docs``. ``run`` writes each stage's rows as Parquet to the
+shared folder and reads them again for the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pathshade.llm import pieces
+from pathshade.llm.mixing import mixed_documents
+from pathshade.llm.near_duplicates import without_near_duplicates
+from pathshade.llm.queries import PIECE_MODEL
+from pathshade.llm.sentences import without_repeats
+from pathshade.llm.toxicity import train, without_toxic
+from pathshade.session import written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more go."""
+    return without_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return without_near_duplicates(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences of later occurrences of repeated spans go."""
+    return without_repeats(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the source weights ask for, in shuffled shards."""
+    return mixed_documents(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and score of each row."""
+    return pieces.encode(docs, PIECE_MODEL)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", jaccard_join),
+    ("substring dedup", substring_dedup),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
+
+#: SQL can express neither the fitted classifier nor the piece model.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage{k}")
     return docs

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pathshade.llm.chat_format import format_preferences
 from pathshade.llm.fingerprints import fingerprint_edits
 from pathshade.llm.mixing import mix_sizes
+from pathshade.llm.near_duplicates import near_duplicates
 from pathshade.llm.pieces import encode_digests, token_counts
 from pathshade.llm.sentences import without_repeats
 from pathshade.llm.topk_search import exact_topk, quantised, usable
@@ -56,6 +57,10 @@ def op7_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"chosen_mask": spans("chosen_mask"), "rejected_mask": spans("rejected_mask")})
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scored(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -73,6 +78,7 @@ QUERIES = {
     "op5_exact_topk": op5_exact_topk,
     "op6_fingerprints": op6_fingerprints,
     "op7_chat_preferences": op7_chat_preferences,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
@@ -135,5 +141,34 @@ WITH t AS (
 )
 SELECT n.pair_id, n.chosen_id, n.rejected_id, CAST(n.prompt_turns AS BIGINT) AS prompt_turns, g.prompt, g.chosen, g.rejected, g.chosen_mask, g.rejected_mask
 FROM n JOIN g USING (pair_id)
+""",
+    "op8_jaccard_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS t FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 4, least(len(t), 1)) + 1)) AS i FROM w)
+), d AS (
+  SELECT w.doc_id, coalesce(md5(string_agg(s.shingle, '|' ORDER BY s.shingle)), '') AS digest, count(s.shingle) AS n
+  FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
+), c AS (
+  SELECT digest, min(doc_id) AS class_id, min(n) AS n FROM d GROUP BY digest
+), r AS (
+  SELECT c.class_id, c.n, s.shingle FROM c JOIN s ON s.doc_id = c.class_id
+), l AS (
+  SELECT a.class_id AS a, b.class_id AS b FROM r a JOIN r b ON a.shingle = b.shingle AND a.class_id <> b.class_id
+  GROUP BY a.class_id, b.class_id, a.n, b.n
+  HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT class_id AS node, class_id AS other FROM c
+  UNION
+  SELECT reach.node, l.b FROM reach JOIN l ON reach.other = l.a
+), g AS (
+  SELECT node, min(other) AS group_id FROM reach GROUP BY node
+), k AS (
+  SELECT a, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT d.doc_id, c.class_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links, g.group_id
+FROM d JOIN c USING (digest) JOIN g ON g.node = c.class_id LEFT JOIN k ON k.a = c.class_id
 """,
 }

@@ -6,8 +6,8 @@ two. Sums commute, so the order of paragraphs does not matter, equal multisets
 are equal lane by lane, and a paragraph is inserted or deleted by adding or
 subtracting its vector (``combined``). The vector has three parts:
 
-* EXACT_LANES lanes modulo 2**32: a hash of the whole paragraph under one seed
-  each, 256 bits that decide equality;
+* EXACT_LANES lanes modulo 2**EXACT_BITS: a hash of the whole paragraph under one
+  seed each, 168 bits that decide equality;
 * one lane modulo 2**32: the number n of the paragraph's word pairs;
 * LANES sketch lanes modulo 2**16: each word pair is hashed to a vector of bits.
   A lane of c set bits reads as 2c - n, a sum of random signs, so the normalised
@@ -25,7 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-EXACT_LANES, SEEDS, SHIFTS = 8, 3, 21
+EXACT_LANES, SEEDS, SHIFTS = 4, 2, 21
+EXACT_BITS = 42
 LANES = SEEDS * SHIFTS * 3
 SPREAD = (1 << 42) | (1 << 21) | 1
 ROWS_A_BUCKET = 8192
@@ -40,13 +41,13 @@ def fingerprint(texts: DataFrame, keys: list[str], text: str = "text") -> DataFr
     """
     lines = texts.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_line"))
     words = lines.select(*keys, "_line", F.split("_line", "[\\x20\\x09-\\x0D]+", -1).alias("_w"))
-    after = F.concat(F.slice("_w", 2, F.size("_w")), F.array(F.lit("")))  # every word starts a pair
-    pairs = words.select(*keys, "_line", F.posexplode(F.arrays_zip(F.col("_w").alias("a"), after.alias("b"))).alias("_pos", "_pair"))
+    pairs = words.select(*keys, "_line", "_w", F.posexplode("_w").alias("_pos", "_a"))
+    after = F.coalesce(F.get("_w", F.col("_pos") + 1), F.lit(""))  # every word starts a pair
     hashed = pairs.select(
         *keys,
         F.shiftright(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1), 19).alias("_chunk"),
-        *[F.xxhash64(F.lit(s), "_pair.a", "_pair.b").alias(f"_h{s}") for s in range(SEEDS)],
-        *[F.when(F.col("_pos") == 0, F.xxhash64(F.lit(101 + j), "_line").bitwiseAND((1 << 32) - 1)).otherwise(0).alias(f"_e{j}") for j in range(EXACT_LANES)],
+        *[F.xxhash64(F.lit(s), "_a", after).alias(f"_h{s}") for s in range(SEEDS)],
+        *[F.when(F.col("_pos") == 0, F.xxhash64(F.lit(101 + j), "_line").bitwiseAND((1 << EXACT_BITS) - 1)).otherwise(0).alias(f"_e{j}") for j in range(EXACT_LANES)],
     )
     packed = hashed.groupBy(*keys, "_chunk").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -55,12 +56,12 @@ def fingerprint(texts: DataFrame, keys: list[str], text: str = "text") -> DataFr
     )
     lanes = [F.shiftrightunsigned(f"_s{s}_{b}", 21 * i).bitwiseAND((1 << 16) - 1) for s in range(SEEDS) for b in range(SHIFTS) for i in range(3)]
     low, high = lanes[::2], lanes[1::2] + [F.lit(0).cast("long")] * (LANES % 2)
-    chunks = packed.select(*keys, "_n", *[f"_x{j}" for j in range(EXACT_LANES)], *[(a + F.shiftleft(b, 31)).alias(f"_p{i}") for i, (a, b) in enumerate(zip(low, high, strict=True))])
+    chunks = packed.select(*keys, "_n", *[F.col(f"_x{j}").bitwiseAND((1 << EXACT_BITS) - 1).alias(f"_x{j}") for j in range(EXACT_LANES)], *[(a + F.shiftleft(b, 31)).alias(f"_p{i}") for i, (a, b) in enumerate(zip(low, high, strict=True))])
     sums = chunks.groupBy(*keys).agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in chunks.columns if c[:2] in ("_x", "_p")])
     lane = lambda i: (F.shiftrightunsigned(f"_p{i // 2}", 31) if i % 2 else F.col(f"_p{i // 2}")).bitwiseAND((1 << 16) - 1)
     return sums.select(
         *keys,
-        F.array(*[F.col(f"_x{j}").bitwiseAND((1 << 32) - 1) for j in range(EXACT_LANES)]).alias("exact"),
+        F.array(*[F.col(f"_x{j}").bitwiseAND((1 << EXACT_BITS) - 1) for j in range(EXACT_LANES)]).alias("exact"),
         F.col("_n").alias("n"),
         F.array(*[lane(i) for i in range(LANES)]).alias("lanes"),
     )
@@ -71,7 +72,7 @@ def combined(a: Column, b: Column, sign: int = 1) -> Column:
     are structs of exact, n and lanes."""
     mod = lambda x, y, m: F.pmod(x + F.lit(sign) * y, F.lit(m))
     return F.struct(
-        F.zip_with(a["exact"], b["exact"], lambda x, y: mod(x, y, 1 << 32)).alias("exact"),
+        F.zip_with(a["exact"], b["exact"], lambda x, y: mod(x, y, 1 << EXACT_BITS)).alias("exact"),
         mod(a["n"], b["n"], 1 << 32).alias("n"),
         F.zip_with(a["lanes"], b["lanes"], lambda x, y: mod(x, y, 1 << 16)).alias("lanes"),
     )
@@ -79,7 +80,7 @@ def combined(a: Column, b: Column, sign: int = 1) -> Column:
 
 def as_hex(f: Column) -> Column:
     digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
-    return F.concat(F.array_join(F.transform(f["exact"], lambda x: digits(x, 8)), ""), digits(f["n"], 8), F.array_join(F.transform(f["lanes"], lambda x: digits(x, 4)), ""))
+    return F.concat(F.array_join(F.transform(f["exact"], lambda x: digits(x, 11)), ""), digits(f["n"], 8), F.array_join(F.transform(f["lanes"], lambda x: digits(x, 4)), ""))
 
 
 def signed(f: Column) -> Column:

@@ -20,14 +20,14 @@ def hops(edges: DataFrame, sources: DataFrame, key: str = "src", start: str = "s
     Every few rounds the visited set is written, so lineage stays short; edges are
     distinct once, since parallel ones do not change distances.
     """
-    links = edges.select("u", "v").distinct()
+    links = edges.select(F.col("u").alias("_from"), F.col("v").alias("_to")).distinct()
     if limit is None:
         links = written(links, "links")
     seen = sources.select(key, F.col(start).cast("long").alias("v"), F.lit(0).cast("long").alias("d")).distinct()
     front, d = seen, 0
     while limit is None or d < limit:
         d += 1
-        step = front.join(links.withColumnRenamed("v", "next"), front["v"] == links["u"]).select(key, F.col("next").alias("v")).distinct()
+        step = front.join(links, F.col("v") == F.col("_from")).select(key, F.col("_to").alias("v")).distinct()
         front = step.join(seen.select(key, "v"), [key, "v"], "left_anti").withColumn("d", F.lit(d).cast("long"))
         if limit is None or d % keep_every == 0:
             front = written(front, "frontier")

@@ -1,6 +1,448 @@
-"""Registry of the engine's queries and of their SQL oracles."""
+"""The engine's queries by name; their oracles are in ``oracles``."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from pathshade.functions.psi import Psi
+from pathshade.functions.stats import summary
+from pathshade.operators import agents as ag
+from pathshade.operators import caps as cp
+from pathshade.operators import graph as gr
+from pathshade.operators import greedy as gd
+from pathshade.operators import lb3
+from pathshade.operators import objectives as ob
+from pathshade.operators import paths as pt
+from pathshade.operators import unions as un
+from pathshade.operators import weights as wt
+from pathshade.operators.evaluate import evaluate, evaluate_difference
+from pathshade.plans import inputs as i
+from pathshade.plans.oracles import ORACLES  # noqa: F401
+from pathshade.session import new_path, written
+from pathshade.sources import text as tx
+from pathshade.sources.bundle import read_bundle, write_bundle
+from pathshade.sources.grid import Grid, grid_edges, nodes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(name: str) -> Column:
+    return F.round(name, 6).alias(name)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*[r6(c) if c in names else F.col(c) for c in df.columns])
+
+
+# lattices
+
+
+@query
+def grid_edges_4(spark, sf):
+    return grid_edges(spark, i.GRID)
+
+
+@query
+def grid_edges_8(spark, sf):
+    return grid_edges(spark, Grid(12, 20, diag=True))
+
+
+@query
+def grid_edges_torus(spark, sf):
+    return grid_edges(spark, Grid(9, 2, torus=True))
+
+
+@query
+def grid_edge_list(spark, sf):
+    return tx.edge_lines(tx.canonical(grid_edges(spark, Grid(9, 7, diag=True, torus=True))))
+
+
+# text sources and sinks
+
+
+@query
+def edge_text_scan(spark, sf):
+    return i.sparse(spark, sf)
+
+
+@query
+def edge_text_odd_lines(spark, sf):
+    """One-based ids with comments, short lines and words among them."""
+    o = i.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    line = F.when(k % 5 == 0, F.concat(F.lit("# "), k)).when(k % 5 == 1, k.cast("string")).when(k % 5 == 2, F.concat_ws(" ", k, F.lit("x"))).otherwise(F.concat(F.lit("  "), F.col("o_custkey"), F.lit("\t"), k, F.lit(" tail ")))
+    return tx.edges_of(o.select(line.alias("value")), n=10_000, undirected=False, one_based=True)
+
+
+@query
+def candidate_dedup(spark, sf):
+    p = i.table(spark, sf, "part").select((F.col("p_partkey") * 7 % 601).cast("string").alias("value"), F.col("p_partkey").alias("line"))
+    return tx.ids_of(p, n=500)
+
+
+@query
+def blocked_ids(spark, sf):
+    return tx.blocked_of(i.table(spark, sf, "supplier").select((F.col("s_suppkey") % 64).cast("string").alias("value")), one_based=True)
+
+
+@query
+def hotspot_parse(spark, sf):
+    c = i.table(spark, sf, "customer").where("c_acctbal > 0")
+    return tx.hotspots_of(c.select(F.concat_ws(" ", "c_custkey", "c_acctbal").alias("value")))
+
+
+@query
+def obstacle_coordinates(spark, sf):
+    s = i.table(spark, sf, "supplier")
+    return tx.coordinates_of(s.select(F.concat_ws(" ", F.col("s_suppkey") % 19, F.col("s_suppkey") * 5 % 17).alias("value")), 16, 16, one_based=True)
+
+
+@query
+def path_text_round_trip(spark, sf):
+    lines = tx.path_lines(i.path_nodes(spark, sf))
+    return tx.paths_of(lines, n=i.GRID.n, agent="agent")
+
+
+@query
+def graph_bundle_round_trip(spark, sf):
+    path = new_path(spark, "bundle") + ".gbin"
+    write_bundle(spark, i.sparse(spark, sf), path, i.customers(spark, sf), blocked=i.blocked(spark, sf))
+    return read_bundle(spark, path)
+
+
+@query
+def infer_node_count(spark, sf):
+    return tx.node_count(i.sparse(spark, sf))
+
+
+# graphs
+
+
+@query
+def reverse_edges(spark, sf):
+    return gr.reversed_edges(tx.edges_of(i.edge_text(spark, sf), undirected=False))
+
+
+@query
+def degree_summary(spark, sf):
+    n = i.table(spark, sf, "customer").select(F.col("c_custkey").alias("v"))
+    return gr.degrees(n, i.sparse(spark, sf))
+
+
+@query
+def graph_summary(spark, sf):
+    return gr.graph_summary(nodes(spark, i.GRID), grid_edges(spark, i.GRID), i.blocked(spark, sf))
+
+
+@query
+def path_summary(spark, sf):
+    return rounded(gr.path_summary(i.paths(spark, sf)), "avg_len")
+
+
+@query
+def bfs_distances(spark, sf):
+    return gr.hops(i.sparse(spark, sf), i.sources(spark, sf))
+
+
+@query
+def reachable_pairs(spark, sf):
+    directed = tx.edges_of(i.edge_text(spark, sf), undirected=False)
+    return gr.reachable(directed, i.sparse_agents(spark, sf)).select("agent", "s", "t")
+
+
+@query
+def shortest_path_dag(spark, sf):
+    return gr.shortest_path_dag(i.sparse(spark, sf), i.sparse_agents(spark, sf))
+
+
+@query
+def corridor_band(spark, sf):
+    return gr.corridor(i.sparse(spark, sf), i.sparse_agents(spark, sf), 1)
+
+
+@query
+def obstacles_random(spark, sf):
+    return gr.random_obstacles(nodes(spark, i.GRID), 40, 11, i.blocked(spark, sf))
+
+
+@query
+def obstacles_apply(spark, sf):
+    return gr.without_obstacles(grid_edges(spark, i.GRID), i.blocked(spark, sf))
+
+
+@query
+def walkable_nodes(spark, sf):
+    return gr.walkable(nodes(spark, i.GRID), i.blocked(spark, sf))
+
+
+# weights and responses
+
+
+@query
+def weights_hard(spark, sf):
+    return i.hard(spark)
+
+
+@query
+def weights_soft(spark, sf):
+    return rounded(i.soft(spark), "w")
+
+
+@query
+def weights_sparse(spark, sf):
+    c = i.sources(spark, sf).select(F.col("src").alias("u"), F.col("src").alias("cpos"))
+    return rounded(wt.soft_weights(i.sparse(spark, sf), c, wt.SoftDecay(1.0, 2, 1e-4)), "w")
+
+
+def _psi(name: str, psi: Psi):
+    def run(spark, sf):
+        t = i.table(spark, sf, "lineitem")
+        return t.select("l_orderkey", "l_linenumber", F.round(psi((F.col("l_quantity") - 5) / 10), 6).alias("psi"))
+
+    QUERIES[name] = run
+
+
+for _name, _p in (("psi_clip", Psi("clip", 1.5)), ("psi_log1p", Psi("log1p", 0.0)), ("psi_expsat", Psi("expsat", 0.7)), ("psi_power", Psi("power", 0.5))):
+    _psi(_name, _p)
+
+
+# agents
+
+
+def _od(name: str, od: ag.OD, **more):
+    def run(spark, sf):
+        attempts = i.table(spark, sf, "customer").select(F.col("c_custkey").alias("attempt"))
+        walk = i.table(spark, sf, "part").select((F.col("p_partkey") % i.GRID.n).alias("v"))
+        hot = i.hotspots(spark, sf) if od.kind == "hotspot" else None
+        return ag.sample_od(attempts, walk, od, i.SEED, 12, hot, i.blocked(spark, sf) if od.kind in ("gaussian", "hotspot") else None)
+
+    QUERIES[name] = run
+
+
+for _k, _o in (("uniform", {}), ("band", {"dmin": 4, "dmax": 12}), ("gaussian", {"sigma": 1.5}), ("hotspot", {}), ("gravity", {"beta": 0.3})):
+    _od(f"od_{_k}", ag.OD(_k, rows=16, cols=16, **_o))
+
+
+@query
+def od_first_agents(spark, sf):
+    return ag.first_agents(QUERIES["od_band"](spark, sf), 500)
+
+
+# paths
+
+
+@query
+def lattice_paths(spark, sf):
+    return i.path_nodes(spark, sf)
+
+
+@query
+def k_distinct_paths(spark, sf):
+    return pt.distinct_paths(i.path_nodes(spark, sf, 5), 3)
+
+
+def _dag(spark, sf):
+    a = written(i.sparse_agents(spark, sf), "agents")
+    return a, written(gr.shortest_path_dag(i.sparse(spark, sf), a), "dag")
+
+
+@query
+def dag_path_counts(spark, sf):
+    a, dag = _dag(spark, sf)
+    return pt.dag_counts(dag, a)
+
+
+@query
+def dag_path_sample(spark, sf):
+    a, dag = _dag(spark, sf)
+    return pt.dag_draws(dag, written(pt.dag_counts(dag, a), "counts"), a, 3, i.SEED)
+
+
+# unions
+
+
+@query
+def union_counts(spark, sf):
+    return un.union_counts(un.agent_nodes(i.path_nodes(spark, sf)))
+
+
+@query
+def agent_lengths(spark, sf):
+    return un.agent_lengths(i.paths(spark, sf))
+
+
+@query
+def corridor_stats(spark, sf):
+    return un.corridor_stats(i.path_nodes(spark, sf), 2)
+
+
+@query
+def corridor_scalars(spark, sf):
+    return un.corridor_scalars(i.paths(spark, sf), 2)
+
+
+# objectives
+
+
+class Problem:
+    """The tables that objectives share, written once."""
+
+    def __init__(self, spark, sf, psi: Psi = i.CLIP, soft: bool = False):
+        self.psi, self.weights = psi, written(i.soft(spark) if soft else i.hard(spark), "weights")
+        self.path_nodes = written(i.path_nodes(spark, sf), "paths")
+        self.paths = written(pt.path_lengths(self.path_nodes), "lengths")
+        self.nodes = un.agent_nodes(self.path_nodes)
+
+    def scalars(self):
+        return un.corridor_scalars(self.paths, 2).first()
+
+    def certified(self) -> ob.Linear:
+        return ob.Linear(self.weights, written(un.union_counts(self.nodes), "coef"), self.psi, i.LAMBDA, self.scalars().lmin1)
+
+    def proxy(self) -> ob.Linear:
+        coef = un.corridor_stats(self.path_nodes, 2).select("v", F.col("b_r").cast("double").alias("c"))
+        return ob.Linear(self.weights, written(coef, "coef"), self.psi, i.LAMBDA, self.scalars().lsum_r)
+
+    def lower(self, kind: str) -> ob.Linear:
+        mix = ob.mixture(self.paths, kind)
+        return ob.Linear(self.weights, written(ob.mixture_coef(self.path_nodes, mix), "coef"), self.psi, i.LAMBDA, ob.mixture_const(self.paths, mix).first()[0])
+
+    def original(self) -> ob.Original:
+        return ob.Original(self.weights, self.path_nodes, self.paths, self.psi, i.LAMBDA)
+
+    def capped(self, mode: str = "pathlen", k: int = 3) -> ob.Capped:
+        caps = written(cp.caps(mode, self.paths, self.path_nodes, self.weights, self.psi, k), "caps")
+        return ob.Capped(self.weights, written(self.nodes, "nodes"), caps, self.psi, i.LAMBDA, self.scalars().lmin1)
+
+
+OBJECTIVES = {"certified": lambda p: p.certified(), "proxy": lambda p: p.proxy(), "lb1": lambda p: p.lower("first"), "lb2": lambda p: p.lower("uniform"), "original": lambda p: p.original(), "capped": lambda p: p.capped("topk")}
+
+
+def _value(kind: str):
+    def run(spark, sf):
+        return rounded(OBJECTIVES[kind](Problem(spark, sf, i.LOG, soft=True)).value(i.PICKED), "value")
+
+    QUERIES[f"{kind}_value"] = run
+
+
+def _marginals(kind: str):
+    def run(spark, sf):
+        gains = OBJECTIVES[kind](Problem(spark, sf, i.LOG, soft=True)).gains(i.PICKED[:2])
+        return gains.withColumn("gain", F.round("gain", 4))
+
+    QUERIES[f"marginals_{kind}"] = run
+
+
+def _greedy(kind: str, k: int):
+    def run(spark, sf):
+        return gd.picks(spark, gd.greedy(OBJECTIVES[kind](Problem(spark, sf, i.LOG, soft=True)), k))
+
+    QUERIES[f"greedy_{kind}"] = run
+
+
+for _k in OBJECTIVES:
+    _value(_k)
+    _marginals(_k)
+    _greedy(_k, 2 if _k in ("original", "capped") else 5)
+
+
+@query
+def static_greedy(spark, sf):
+    demand = i.table(spark, sf, "customer").groupBy((F.col("c_custkey") % i.GRID.n).alias("v")).agg(F.sum(F.round(F.col("c_acctbal") * 100).cast("long")).cast("double").alias("c"))
+    return gd.picks(spark, gd.greedy(gd.coverage(written(i.hard(spark), "weights"), written(demand, "demand"), i.CLIP), 4))
+
+
+@query
+def lazy_greedy_certified(spark, sf):
+    return gd.picks(spark, gd.lazy_greedy(Problem(spark, sf, i.LOG, soft=True).certified(), 5))
+
+
+# caps
+
+
+def _caps(mode: str, psi: Psi):
+    def run(spark, sf):
+        p = Problem(spark, sf, psi, soft=True)
+        return rounded(cp.caps(mode, p.paths, p.path_nodes, p.weights, psi, 3), "cap")
+
+    QUERIES[f"caps_{mode}"] = run
+
+
+for _m, _q in (("pathlen", i.CLIP), ("topk", i.LOG), ("global", i.LOG)):
+    _caps(_m, _q)
+
+
+@query
+def cap_summary(spark, sf):
+    return rounded(cp.cap_summary(QUERIES["caps_topk"](spark, sf)), "cap_min", "cap_median", "cap_max")
+
+
+# baselines
+
+
+@query
+def random_k(spark, sf):
+    return gd.random_k(i.table(spark, sf, "part").select(F.col("p_partkey").alias("u"), F.col("p_partkey").alias("cpos")), 50, i.SEED)
+
+
+@query
+def regular_spacing(spark, sf):
+    return gd.regular_spacing(nodes(spark, i.GRID), 16, 16, 20, i.blocked(spark, sf))
+
+
+@query
+def bruteforce_small(spark, sf):
+    few = i.table(spark, sf, "nation").select((F.col("n_nationkey").cast("long") * 10).alias("u"), F.col("n_nationkey").cast("long").alias("cpos"))
+    p = Problem(spark, sf, i.LOG, soft=True)
+    w = p.weights.drop("cpos").join(few, "u")
+    out = gd.brute_force(w, few, p.certified().coef, i.LOG, 3, guard=10_000)
+    return out.select(F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), F.round("value", 6).alias("value"))
+
+
+# lower bounds and evaluation
+
+
+@query
+def softmax_mixture(spark, sf):
+    return rounded(ob.softmax_mixture(Problem(spark, sf, i.LOG, soft=True).original().scores(i.PICKED), 1.0), "alpha")
+
+
+@query
+def lb3_iterate(spark, sf):
+    chosen, value = lb3.iterate(Problem(spark, sf, i.LOG, soft=True).original(), list(i.PICKED), 3, 1.0, 2)
+    return spark.createDataFrame([(n + 1, u, round(value, 6)) for n, u in enumerate(chosen)], "round long, u long, value double")
+
+
+@query
+def eval_stats(spark, sf):
+    return rounded(evaluate(Problem(spark, sf, i.LOG, soft=True).original(), i.PICKED), "mean", "var", "se", "ci_low", "ci_high")
+
+
+@query
+def eval_diff_stats(spark, sf):
+    return rounded(evaluate_difference(Problem(spark, sf, i.LOG, soft=True).original(), i.PICKED, i.OTHER), "mean", "var", "se", "ci_low", "ci_high")
+
+
+@query
+def sample_summary_by_segment(spark, sf):
+    return rounded(summary(i.table(spark, sf, "customer"), "c_acctbal", 0.1, ["c_mktsegment"]), "mean", "var", "se", "ci_low", "ci_high")
+
+
+@query
+def sandwich_report(spark, sf):
+    from pathshade.plans.sandwich import Config, Sample, report_rows, sandwich
+
+    p = Problem(spark, sf, i.CLIP)
+    sample = Sample(p.path_nodes, p.paths)
+    return report_rows(spark, sandwich(spark, p.weights, sample, Config(k=3, lam=i.LAMBDA)))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return QUERIES["greedy_certified"](spark, sf)

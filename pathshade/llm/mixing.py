@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from pathshade.llm.ship import unused
 from pathshade.session import written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -122,11 +123,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: ``docs`` with rows repeated or left out as it says, in
     shards whose rows are in shuffled order. The document at the end of a
     source's quota keeps its leading words."""
-    rows = mix(docs, **options).where("words > 0").select("digest", "copy", "pass", "size", "words", "shard", "position")
-    keyed = docs.withColumn("_digest", F.xxhash64("doc_id", "source", "text")).withColumn("_copy", F.row_number().over(W.partitionBy("_digest").orderBy("doc_id")))
-    on = (keyed["_digest"] == rows["digest"]) & (keyed["_copy"] == rows["copy"])
-    cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")).otherwise(F.col("text"))
-    out = keyed.join(rows, on).withColumn("text", cut)
+    names = ("digest", "copy", "size", "words", "shard", "position")
+    digest, copy, size, words, shard, position = new = unused(docs, *[f"_mix_{n}" for n in names])
+    rows = mix(docs, **options).where("words > 0").select(*[F.col(n).alias(x) for n, x in zip(names, new, strict=True)])
+    own, own_copy = unused(docs, "_own_digest", "_own_copy")
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", "source", "text")).withColumn(own_copy, F.row_number().over(W.partitionBy(own).orderBy("doc_id")))
+    whole = keyed.join(rows, (F.col(own) == F.col(digest)) & (F.col(own_copy) == F.col(copy)))
+    cut = F.col(words) < F.col(size)
+    leading = F.array_join(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col(words).cast("int")), "")
+    out = whole.withColumn("text", F.when(cut, leading).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.repartition("shard").sortWithinPartitions("shard", "position").select(docs.columns)
+        out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.repartition(shard).sortWithinPartitions(shard, position).select(docs.columns)

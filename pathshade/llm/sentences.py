@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from pathshade.llm.ship import unused
 from pathshade.session import written
 
 SENTENCES, WORDS = 2, 20
@@ -101,8 +102,10 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     Null and empty texts have no sentences and stay as they are. Texts shorter
     than a span are never touched. Repeated rows keep the same sentences.
     """
-    found = repeated_sentences(docs, sentences, words).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left").drop("_id")
+    found = repeated_sentences(docs, sentences, words)
+    id_, gone_ = unused(docs, "_id", "_spans")
+    found = found.select(F.col("doc_id").alias(id_), F.col("spans").alias(gone_))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(id_)), "left").drop(id_)
     out = list(docs.schema.fields)
     names = [f.name for f in out]
     at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shipped(spark: SparkSession, model):
@@ -17,3 +17,14 @@ def shipped(spark: SparkSession, model):
         return out
 
     return copy
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, prefixed until none is a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

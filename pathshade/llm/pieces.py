@@ -8,11 +8,15 @@ bounded vocabulary itself.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 from collections import deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -20,7 +24,7 @@ from pathshade.llm.ship import shipped
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE = 150_000  # words a worker remembers
+CACHE = 400_000  # words a worker remembers, at most about 150 MB
 
 
 def _fields(data: bytes):
@@ -57,7 +61,6 @@ class PieceModel:
     dummy_prefix: bool = True
     squeeze: bool = False  # extra white space is removed
     normalizer: str = "identity"
-    _bytes: dict = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -78,6 +81,22 @@ class PieceModel:
         return [(p, i, s) for i, (p, s, k) in enumerate(zip(self.pieces, self.scores, self.kinds, strict=True)) if k in (NORMAL, USER, UNUSED) and p]
 
 
+class Remembered(dict):
+    """Results of ``make`` by word; short words are kept, up to a bound."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word):
+        found = self.make(word)
+        if len(word) < 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class ViterbiEncoder:
     """The best-scoring segmentation into pieces.
 
@@ -92,7 +111,7 @@ class ViterbiEncoder:
     def __init__(self, model: PieceModel):
         import ahocorasick
 
-        self.model, self.cache = model, {}
+        self.model, self.cache = model, Remembered(self.encode_chunk)
         self.auto = ahocorasick.Automaton()
         low = 0.0
         singles, inner = set(), False
@@ -103,7 +122,7 @@ class ViterbiEncoder:
                 singles.add(p)
             inner |= SPACE in p.lstrip(SPACE)
         self.auto.make_automaton()
-        self.penalty, self.singles = low - 10, singles
+        self.penalty, self.singles, self.known = low - 10, singles, singles.issuperset
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
         used = set("".join(p for p, _, _ in model.matched()))
@@ -111,46 +130,36 @@ class ViterbiEncoder:
         breaks = "".join(re.escape(c) for c in "\n\t\r" if c not in used)
         chars = f"[{breaks}]|" if breaks else ""
         self.chunk = re.compile(".+" if inner else f"{chars}{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+", re.S)
-        self.text = {i: p for i, p in enumerate(model.pieces)}
-        self.of_byte = {i: b for b, i in self.byte.items()}
+        # pieces and bytes alike as UTF-8, so that runs of bytes join to characters
+        self.raw = [p.replace(SPACE, " ").encode() for p in model.pieces]
+        for b, i in self.byte.items():
+            self.raw[i] = bytes((b,))
 
     def encode_chunk(self, chunk: str) -> tuple[tuple[int, ...], float]:
         n = len(chunk)
-        best, back = [0.0] + [None] * n, [None] * (n + 1)
-        lone = [c not in self.singles for c in chunk]
-        ended: list[list] = [[] for _ in range(n)] if any(lone) else []
-        at = 0
-
-        def relax(end: int, found) -> None:
-            for length, i, score in found:
-                start = best[end - length]
-                if start is not None:
-                    score += start
-                    if best[end] is None or score > best[end] or (score == best[end] and length > back[end][0]):
-                        best[end], back[end] = score, (length, i)
-
-        if not ended:
-            for last, item in self.auto.iter(chunk):
-                relax(last + 1, (item,))
-        else:
-            for last, item in self.auto.iter(chunk):
-                ended[last].append(item)
-            for at in range(n):
-                relax(at + 1, ended[at])
-                if lone[at]:
-                    relax(at + 1, ((1, -1, self.penalty),))
+        best, piece, size = [0.0] + [-math.inf] * n, [-1] * (n + 1), [0] * (n + 1)
+        matches = self.auto.iter(chunk)
+        if not self.known(chunk):  # a position of its own for each unknown character
+            lone = [(k, (1, -1, self.penalty)) for k, c in enumerate(chunk) if c not in self.singles]
+            matches = sorted([*matches, *lone], key=itemgetter(0))
+        for last, (length, i, score) in matches:
+            end = last + 1
+            score += best[end - length]
+            if score > best[end] or (score == best[end] and length > size[end]):
+                best[end], piece[end], size[end] = score, i, length
         ids: list[int] = []
         end = n
         while end:
-            length, i = back[end]
+            i = piece[end]
             if i >= 0:
                 ids.append(i)
             elif self.byte:
                 ids += [self.byte[b] for b in reversed(chunk[end - 1].encode())]
             else:
                 ids.append(self.unknown)
-            end -= length
-        return tuple(reversed(ids)), best[n]
+            end -= size[end]
+        ids.reverse()
+        return tuple(ids), best[n]
 
     def encode(self, text: str) -> tuple[list[int], float]:
         """Ids and total score. An empty text has no ids."""
@@ -159,37 +168,12 @@ class ViterbiEncoder:
         if not text:
             return [], 0.0
         text = (" " if self.model.dummy_prefix else "") + text
-        ids: list[int] = []
-        total, cache = 0.0, self.cache
-        for chunk in self.chunk.findall(text.replace(" ", SPACE)):
-            found = cache.get(chunk)
-            if found is None:
-                found = self.encode_chunk(chunk)
-                if len(chunk) < 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[chunk] = found
-            ids += found[0]
-            total += found[1]
-        return ids, total
+        found = list(map(self.cache.__getitem__, self.chunk.findall(text.replace(" ", SPACE))))
+        return list(chain.from_iterable([f[0] for f in found])), math.fsum([f[1] for f in found])
 
     def decode(self, ids) -> str:
-        out: list[str] = []
-        held = bytearray()
-        of_byte, text = self.of_byte, self.text
-        for i in ids:
-            b = of_byte.get(i)
-            if b is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(text[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        joined = "".join(out).replace(SPACE, " ")
-        return joined[1:] if self.model.dummy_prefix and joined.startswith(" ") else joined
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
 def _mapped(docs: DataFrame, make, columns: list[tuple[str, str, pa.DataType]], id_col: str) -> DataFrame:
@@ -242,7 +226,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFr
 
         def one(text: str):
             ids, score = coder.encode(text)
-            return len(ids), score, hashlib.sha256(struct.pack(f"<{len(ids)}i", *ids)).hexdigest(), coder.decode(ids) == text
+            return len(ids), score, hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), coder.decode(ids) == text
 
         return one
 
@@ -323,18 +307,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFram
     counter = shipped(docs.sparkSession, LongestMatchCounter.of(PieceModel.load(path)))
 
     def make():
-        count, cache = counter().count, {}
-
-        class Counts(dict):
-            def __missing__(self, word):
-                if len(self) >= CACHE:
-                    self.clear()
-                n = count(word)
-                if len(word) < 64:
-                    self[word] = n
-                return n
-
-        cache = Counts()
+        cache = Remembered(counter().count)
 
         def one(text: str):
             words = WORD.findall(text)

@@ -29,7 +29,7 @@ EXACT_LANES, SEEDS, SHIFTS = 4, 2, 21
 EXACT_BITS = 42
 LANES = SEEDS * SHIFTS * 3
 SPREAD = (1 << 42) | (1 << 21) | 1
-ROWS_A_BUCKET = 8192
+ROWS_A_BUCKET = 4096
 BROADCAST_ROWS = 4_000_000
 
 

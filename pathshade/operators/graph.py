@@ -12,29 +12,38 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
 
 
-def hops(edges: DataFrame, sources: DataFrame, key: str = "src", start: str = "src", limit: int | None = None, keep_every: int = 3) -> DataFrame:
+UNROLLED, COMPACT = 3, 8
+
+
+def hops(edges: DataFrame, sources: DataFrame, key: str = "src", start: str = "src", limit: int | None = None) -> DataFrame:
     """(key, v, d): hop distances up to ``limit`` from each source.
 
     ``sources`` has the key and its start node (several rows for a multi-source
-    search). Frontier by frontier: join the edges, drop what the key has seen.
-    Every few rounds the visited set is written, so lineage stays short; edges are
-    distinct once, since parallel ones do not change distances.
+    search). Parallel edges do not change distances, so edges are distinct once. A short
+    radius is one lazy plan: walks of each length, then the shortest per node. A
+    longer search goes frontier by frontier, against all nodes its key has
+    seen; each frontier is written, so no lineage grows, and the visited
+    set is compacted every few rounds.
     """
     links = edges.select(F.col("u").alias("_from"), F.col("v").alias("_to")).distinct()
-    if limit is None:
-        links = written(links, "links")
-    seen = sources.select(key, F.col(start).cast("long").alias("v"), F.lit(0).cast("long").alias("d")).distinct()
-    front, d = seen, 0
+    at = lambda df, d: df.select(key, "v", F.lit(d).cast("long").alias("d"))
+    step = lambda df: df.join(links, F.col("v") == F.col("_from")).select(key, F.col("_to").alias("v")).distinct()
+    front = at(sources.select(key, F.col(start).cast("long").alias("v")).distinct(), 0)
+    if limit is not None and limit <= UNROLLED:
+        seen = front
+        for d in range(1, limit + 1):
+            front = at(step(front), d)
+            seen = seen.unionByName(front)
+        return seen.groupBy(key, "v").agg(F.min("d").alias("d"))
+    links, front = written(links, "links"), written(front, "frontier")
+    seen, d = front, 0
     while limit is None or d < limit:
         d += 1
-        step = front.join(links, F.col("v") == F.col("_from")).select(key, F.col("_to").alias("v")).distinct()
-        front = step.join(seen.select(key, "v"), [key, "v"], "left_anti").withColumn("d", F.lit(d).cast("long"))
-        if limit is None or d % keep_every == 0:
-            front = written(front, "frontier")
-            if not front.limit(1).count():
-                return seen
+        front = written(at(step(front).join(seen.select(key, "v"), [key, "v"], "left_anti"), d), "frontier")
+        if not front.limit(1).count():
+            break
         seen = seen.unionByName(front)
-        if d % keep_every == 0:
+        if d % COMPACT == 0:
             seen = written(seen, "visited")
     return seen
 

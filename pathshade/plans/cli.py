@@ -21,6 +21,7 @@ from pathshade.sources import text as tx
 from pathshade.sources.bundle import read_bundle, read_bundle_sets, write_bundle
 from pathshade.sources.grid import grid_edges, parse_grid
 
+# Fixed names of options and their values.
 CAPS = {"Auto": "auto", "PathlenOnly": "pathlen", "TopkLocal": "topk", "GlobalAll": "global"}
 OD = {"uniform": "uniform", "band": "band", "gaussian": "gaussian", "hotspot": "hotspot", "gravity": "gravity"}
 

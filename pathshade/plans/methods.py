@@ -80,6 +80,7 @@ def run_brute_force(c: Context) -> dict:
     return measured(c, [by_position[p] for p in best.members], began)
 
 
+# Fixed names of methods and override keys.
 METHODS: dict[str, tuple[str, Callable[[Context], dict]]] = {
     "sandwich": ("upper and lower bounds, the better pick", run_sandwich),
     "random_k": ("k random candidates", run_random),

@@ -40,18 +40,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Paths that ``written`` has made in this process, in order.
+made: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it
     back. Lost executors cost a reread, not a recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote with ``written``. DataFrames that
     still read it must be done with."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")

@@ -7,6 +7,8 @@ shared folder and reads them again for the next one.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pathshade.llm import pieces
@@ -15,29 +17,52 @@ from pathshade.llm.near_duplicates import without_near_duplicates
 from pathshade.llm.queries import PIECE_MODEL
 from pathshade.llm.sentences import without_repeats
 from pathshade.llm.toxicity import train, without_toxic
-from pathshade.session import written
+from pathshade.session import delete, made, written
+
+_spent: list[str] = []
+
+
+def tidy(stage):
+    """A stage is called once its predecessor's rows are written, so the
+    tables that the predecessor worked with are deleted first."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _spent:
+            delete(spark, _spent.pop())
+        before = len(made)
+        out = stage(spark, docs, sf_dir)
+        _spent.extend(made[before:])
+        return out
+
+    return run_stage
 
 
+@tidy
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more go."""
     return without_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@tidy
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return without_near_duplicates(docs)
 
 
+@tidy
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences of later occurrences of repeated spans go."""
     return without_repeats(docs)
 
 
+@tidy
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source weights ask for, in shuffled shards."""
     return mixed_documents(docs)
 
 
+@tidy
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and score of each row."""
     return pieces.encode(docs, PIECE_MODEL)

@@ -15,6 +15,8 @@ size of the corpus.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
@@ -23,6 +25,9 @@ from pathshade.session import written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
+SHARD_WORDS = 1 << 20
+#: Pieces that a shard's rows are dealt into when they are laid out.
+PIECES = 4
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -61,7 +66,12 @@ def split_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return leaves.withColumn("first", F.sum("quota").over(before) - F.col("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, depth: int = 4, units: int = 64, buckets: int = 1024, seed: int = 20) -> DataFrame:
+def tree_depth(words: float) -> int:
+    """Shards of about SHARD_WORDS words, 16 to 4096 of them."""
+    return min(12, max(4, math.ceil(math.log2(max(1.0, words / SHARD_WORDS)))))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, depth: int | None = None, units: int = 64, buckets: int = 1024, seed: int = 20) -> DataFrame:
     """One row per document and pass: doc_id, source, digest, copy, size,
     source_size, target, pass, words, shard, position.
 
@@ -80,6 +90,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     skinny = skinny.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "digest"), F.lit(buckets)))
     by_range = skinny.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     by_range = written(by_range, "mix-ranges")
+    if depth is None:
+        depth = tree_depth(share * (by_range.agg(F.sum("words")).first()[0] or 0))
     aims = targets(by_range.groupBy("source").agg(F.sum("n").alias("n"), F.sum("words").alias("source_size")), weights, share, most)
     block = F.greatest(F.lit(1.0), F.ceil(F.sum("target").over(W.partitionBy()) / (units << depth)).cast("double"))
     aims = aims.withColumn("block", block).withColumn("quota_words", F.round("target").cast("long"))
@@ -134,4 +146,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     out = whole.withColumn("text", F.when(cut, leading).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.repartition(shard).sortWithinPartitions(shard, position).select(docs.columns)
+    return out.repartition(shard, F.pmod(position, F.lit(PIECES))).sortWithinPartitions(shard, position).select(docs.columns)

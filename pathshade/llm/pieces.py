@@ -24,7 +24,7 @@ from pathshade.llm.ship import shipped
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE = 400_000  # words a worker remembers, at most about 150 MB
+CACHE = 200_000  # words a worker remembers, at most about 80 MB
 
 
 def _fields(data: bytes):

@@ -1,40 +1,90 @@
 """Substring deduplication by sliding spans of sentences.
 
-A span is the shortest run of at least SENTENCES consecutive sentences that
-holds at least WORDS words. Every sentence begins a span, as far as the text
-reaches; all spans of the corpus are hashed (128 bits) and joined, and a sentence
-goes if any occurrence of a span other than its first covers it.
-
-Occurrences are ordered by doc_id, then position. The spans' counts are merged
-before they are shuffled, and the join that finds later occurrences streams
-them, so a span that a third of all documents share is dealt with like others.
+Sentences of more than WINDOW words are cut at word boundaries that their own
+words choose: of every WINDOW consecutive words without a sentence's first one, that
+with the least hash begins a piece (the first of equals). A piece thus has at most
+WINDOW words, and where two texts share a passage their cuts agree from the first
+such window on, whatever unpunctuated text is glued to either side.
+
+A span is the shortest run of at least SENTENCES consecutive pieces that
+holds at least WORDS words. Every piece begins a span, as far as the text
+reaches; all spans of the corpus are hashed (128 bits) and joined, and a piece
+goes if any occurrence of a span other than its first covers it. A shared passage
+holds a whole span if it has 1 + (WINDOW - 1) + WORDS + WINDOW = 50 words or more.
+
+Occurrences are ordered by doc_id, then position. Spans are shuffled once and not
+written; a span's occurrences meet in one task, which sorts them with spill.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Window as W
 
 from pathshade.llm.ship import unused
-from pathshade.session import written
 
 SENTENCES, WORDS = 2, 20
+WINDOW = 15
 #: A sentence ends after ., ! or ? and white space, or at a line break, which it keeps.
 SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|$)[^\n.!?]*)*(?:[.!?]+(?=\s|$)[^\S\n]*\n*|\n+|$)")
 TOKEN = re.compile(r"\w+")
 
 
+class Keys(dict):
+    """Hashes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        key = self[word] = xxhash.xxh3_64_intdigest(word.lower())
+        return key
+
+
+_keys = Keys()
+
+
+def whole(text: str) -> list[str]:
+    """Sentences that join to the text again."""
+    return [x for x in SENTENCE.findall(text) if x]
+
+
+def cut(sentence: str) -> list[str]:
+    """Pieces that join to the sentence again."""
+    if len(sentence) <= 2 * WINDOW:  # as many words have at least as many gaps, less one
+        return [sentence]
+    tokens = list(TOKEN.finditer(sentence))
+    if len(tokens) <= WINDOW:
+        return [sentence]
+    keys = [_keys[t.group()] for t in tokens]
+    out, at, least = [], 0, 0
+    for last in range(WINDOW, len(keys)):
+        if least <= last - WINDOW:
+            window = keys[last - WINDOW + 1 : last + 1]
+            least = last - WINDOW + 1 + window.index(min(window))
+        elif keys[last] < keys[least]:
+            least = last
+        else:
+            continue
+        start = tokens[least].start()
+        out.append(sentence[at:start])
+        at = start
+    out.append(sentence[at:])
+    return out
+
+
 def split(text: str) -> list[str]:
     """Pieces that join to the text again."""
-    return [x for x in SENTENCE.findall(text) if x]
+    return [p for s in whole(text) for p in cut(s)]
 
 
 def spans(pieces: list[str], sentences: int, words: int):
-    """(first, length, digest) of the span that begins at each sentence. Digests
-    are of the lower-case words alone; sentences without words are passed over."""
+    """(first, length, digest) of the span that begins at each piece. Digests
+    are of the lower-case words alone; pieces without words are passed over."""
     bare = [(i, TOKEN.findall(p.lower())) for i, p in enumerate(pieces)]
     bare = [(i, w) for i, w in bare if w]
     counts = [len(w) for _, w in bare]
@@ -69,14 +119,12 @@ def all_spans(docs: DataFrame, sentences: int, words: int) -> DataFrame:
 
 
 def repeated_sentences(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """doc_id, spans (array of first sentence and length) of the documents with
+    """doc_id, spans (array of first piece and length) of the documents with
     spans to remove, one row each. Null ids order last and are told apart by
     nothing else: rows that share a doc_id, or have none, are one document, of which equal
     positions are one occurrence."""
-    found = written(all_spans(docs, sentences, words), "spans")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at")
-    first = found.groupBy("span").agg(F.min(rank).alias("first"), F.max(rank).alias("final")).where("first <> final").select("span", "first")
-    later = found.join(first, "span").where(~rank.eqNullSafe(F.col("first")))
+    order = W.partitionBy("span").orderBy(F.asc_nulls_last("doc_id"), "at")
+    later = all_spans(docs, sentences, words).withColumn("place", F.rank().over(order)).where("place > 1")
     return later.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
@@ -94,10 +142,10 @@ def removed_mask(n: int, spans_) -> list[bool]:
 
 
 def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, counts: bool = False) -> DataFrame:
-    """``docs`` without the sentences that repeat earlier spans; all rows and
+    """``docs`` without the pieces that repeat earlier spans; all rows and
     columns stay, a text of which nothing is left is empty. n_chars, if present,
-    follows the text. counts: also n_sentences and n_removed, which must not be
-    columns of ``docs``.
+    follows the text. counts: also n_sentences and n_removed (sentences that lost
+    a piece or all), which must not be columns of ``docs``.
 
     Null and empty texts have no sentences and stay as they are. Texts shorter
     than a span are never touched. Repeated rows keep the same sentences.
@@ -122,11 +170,17 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
                     if not gone and not counts:
                         texts.append(text)
                         continue
-                    pieces = split(text or "")
-                    mask = removed_mask(len(pieces), [(g["at"], g["n"]) for g in gone or ()])
-                    texts.append("".join(p for p, m in zip(pieces, mask, strict=True) if not m) if gone else text)
-                    total.append(len(pieces))
-                    removed.append(sum(mask))
+                    full = whole(text or "")
+                    total.append(len(full))
+                    if not gone:
+                        texts.append(text)
+                        removed.append(0)
+                        continue
+                    cuts = [cut(s) for s in full]
+                    mask = removed_mask(sum(map(len, cuts)), [(g["at"], g["n"]) for g in gone])
+                    texts.append("".join(p for p, m in zip(chain.from_iterable(cuts), mask, strict=True) if not m))
+                    marked = iter(mask)
+                    removed.append(sum(any([next(marked) for _ in c]) for c in cuts))
                 if at_chars >= 0:
                     old = columns[at_chars].to_pylist()
                     columns[at_chars] = pa.array([len(t or "") if g else o for t, g, o in zip(texts, marks.is_valid().to_pylist(), old, strict=True)], columns[at_chars].type)

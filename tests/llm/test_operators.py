@@ -121,6 +121,31 @@ def test_sentences_join_to_the_text(corpus):
     assert sentences.split("v1.2 is out!! Yes.\n\nNo") == ["v1.2 is out!! ", "Yes.\n\n", "No"] or "".join(sentences.split("v1.2 is out!! Yes.\n\nNo")) == "v1.2 is out!! Yes.\n\nNo"
 
 
+ITEM_86 = (
+    "Edon a inound anha, to whwh. Inheou tionhe that erouly onnd ines erhe of, onanblesh bleen a is reblent thst hation and, ly that with oningre it sh erer the with "
+    "atedor was wh by and thenshnd stnttion thwh thatin thwheaed relynt thtiwh thnd thblest ofonwherer insh at ershes aterer ofstntst the es."
+)
+
+
+def test_a_passage_glued_to_other_words_is_found(spark):
+    rng = random.Random(86)
+    loose = lambda n: " ".join(rng.choices(VOCAB, k=n))
+    one = " ".join(f"{a}{n}" for n, a in enumerate(rng.choices(VOCAB, k=50)))
+    texts = [(1, f"{loose(19)} {ITEM_86} {loose(6)}.", "s"), (2, f"{loose(24)}. {loose(13)} {ITEM_86} {loose(4)}.", "s")]
+    texts += [(n, f"{loose(rng.randint(0, 30))} {one} {loose(rng.randint(0, 30))}", "s") for n in range(3, 23)]
+    left = {r.doc_id: r.text for r in sentences.without_repeats(rows_of(spark, texts)).collect()}
+    assert left[1] == texts[0][1] and left[3] == texts[2][1]
+    assert len(set(ITEM_86.split()[-47:]) & set(left[2].split())) <= 15
+    assert all(len(set(one.split()) & set(left[n].split())) <= 30 for n in range(4, 23))
+
+
+def test_counts_are_of_sentences(spark):
+    long = " ".join(f"w{n}" for n in range(60)) + ". "
+    docs = rows_of(spark, [(1, "One two. " + long, "s"), (2, "Three. " + long + "Four five.", "s")]).select("doc_id", "text")
+    got = {r.doc_id: (r.n_sentences, r.n_removed) for r in sentences.without_repeats(docs, counts=True).collect()}
+    assert got == {1: (2, 0), 2: (3, 1)}
+
+
 # 3 and 10
 
 

@@ -1,16 +1,18 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Two absolutely discounted word-pair models, of toxic and of ordinary documents,
-back off to the same counts: a pair to its word, a word to its share of the
-documents of both classes. What either model has not seen thus weighs nothing,
-and a rare expression little. A passage's log-likelihoods are compared per word;
-insults are few in a long text, so a document is judged by its most toxic word
-and passage besides its mean, weighed by a logistic regression on leave-one-out
-values of the training documents.
+"""Toxicity by discounted document-frequency ratios and a logistic regression.
+
+This replaces class-conditional Kneser-Ney models compared by length-normalised
+log-likelihood (the README has held-out figures of both). There are no continuation
+counts and no conditional probabilities. For each class the document counts of words, and
+apart from them those of word pairs, are discounted and mixed with the expression's share of
+the documents of both classes; pairs use the words' totals and left-over mass. What is
+not kept weighs nothing (a pair does not back off to its word), and a rare expression
+little. Insults are few in a long text, so a document is judged by its most toxic word
+and passage besides its means over words and pairs, weighed by a logistic regression
+on leave-one-out values of the training documents.
 
 Counts are numbers of documents that hold the expression. The classifier is fitted on at
 most SAMPLE labelled documents, chosen by a hash of doc_id, and keeps at most
-TERMS words and TERMS pairs that at least LEAST documents hold; the rest back off.
+TERMS words and TERMS pairs that at least LEAST documents hold; the rest count 0.
 All documents are scored, whole.
 """
 
@@ -44,7 +46,7 @@ def discounted(c: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Log-likelihood ratios of words and pairs, relative to full backoff."""
+    """Log ratios of the two classes' discounted shares of words and of pairs."""
 
     def __init__(self, rows, totals):
         """rows: (first word or None, word, ordinary, toxic documents); totals:

@@ -12,7 +12,7 @@ reaches; all spans of the corpus are hashed (128 bits) and joined, and a piece
 goes if any occurrence of a span other than its first covers it. A shared passage
 holds a whole span if it has 1 + (WINDOW - 1) + WORDS + WINDOW = 50 words or more.
 
-Occurrences are ordered by doc_id, then position. Spans are shuffled once and not
+Occurrences are ordered by doc_id, a hash of the text, then position. Spans are shuffled once and not
 written; a span's occurrences meet in one task, which sorts them with spill.
 """
 
@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import re
 from itertools import chain
+from zlib import crc32
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
 
 from pathshade.llm.ship import unused
@@ -33,19 +34,7 @@ WINDOW = 15
 #: A sentence ends after ., ! or ? and white space, or at a line break, which it keeps.
 SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|$)[^\n.!?]*)*(?:[.!?]+(?=\s|$)[^\S\n]*\n*|\n+|$)")
 TOKEN = re.compile(r"\w+")
-
-
-class Keys(dict):
-    """Hashes of words, remembered."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        key = self[word] = xxhash.xxh3_64_intdigest(word.lower())
-        return key
-
-
-_keys = Keys()
+GAPS = re.compile(r"(\w+)")
 
 
 def whole(text: str) -> list[str]:
@@ -57,10 +46,11 @@ def cut(sentence: str) -> list[str]:
     """Pieces that join to the sentence again."""
     if len(sentence) <= 2 * WINDOW:  # as many words have at least as many gaps, less one
         return [sentence]
-    tokens = list(TOKEN.finditer(sentence))
-    if len(tokens) <= WINDOW:
+    parts = GAPS.split(sentence)  # gaps at even places, words at odd ones
+    words = parts[1::2]
+    if len(words) <= WINDOW:
         return [sentence]
-    keys = [_keys[t.group()] for t in tokens]
+    keys = [crc32(w.lower().encode()) for w in words]
     out, at, least = [], 0, 0
     for last in range(WINDOW, len(keys)):
         if least <= last - WINDOW:
@@ -70,10 +60,9 @@ def cut(sentence: str) -> list[str]:
             least = last
         else:
             continue
-        start = tokens[least].start()
-        out.append(sentence[at:start])
-        at = start
-    out.append(sentence[at:])
+        out.append("".join(parts[at : 2 * least + 1]))
+        at = 2 * least + 1
+    out.append("".join(parts[at:]))
     return out
 
 
@@ -101,31 +90,37 @@ def spans(pieces: list[str], sentences: int, words: int):
         yield i, bare[end - 1][0] - i + 1, xxhash.xxh3_128_digest("\n".join(flat[k:end]).encode())
 
 
+def identity() -> Column:
+    """With doc_id, names a document: different texts under one id, or none, are
+    different documents."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def all_spans(docs: DataFrame, sentences: int, words: int) -> DataFrame:
-    schema = pa.schema([("span", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+    schema = pa.schema([("span", pa.binary()), ("doc_id", pa.int64()), ("own", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 
     def run(batches):
         for batch in batches:
             for from_ in range(0, batch.num_rows, 128):
                 part = batch.slice(from_, 128)
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                out: tuple[list, ...] = ([], [], [], [], [])
+                for doc, own, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     for i, n, digest in spans(split(text or ""), sentences, words):
-                        for c, v in zip(out, (digest, doc, i, n), strict=True):
+                        for c, v in zip(out, (digest, doc, own, i, n), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "span binary, doc_id long, at int, n int")
+    return docs.select(F.col("doc_id").cast("long"), identity().alias("own"), "text").mapInArrow(run, "span binary, doc_id long, own long, at int, n int")
 
 
 def repeated_sentences(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """doc_id, spans (array of first piece and length) of the documents with
-    spans to remove, one row each. Null ids order last and are told apart by
-    nothing else: rows that share a doc_id, or have none, are one document, of which equal
+    """doc_id, own, spans (array of first piece and length) of the documents
+    with spans to remove, one row each. Null ids order last, texts that share an id
+    by their hash. Rows equal in doc_id and text are one document here, of which equal
     positions are one occurrence."""
-    order = W.partitionBy("span").orderBy(F.asc_nulls_last("doc_id"), "at")
+    order = W.partitionBy("span").orderBy(F.asc_nulls_last("doc_id"), "own", "at")
     later = all_spans(docs, sentences, words).withColumn("place", F.rank().over(order)).where("place > 1")
-    return later.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    return later.groupBy("doc_id", "own").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
 def removed_mask(n: int, spans_) -> list[bool]:
@@ -148,12 +143,20 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     a piece or all), which must not be columns of ``docs``.
 
     Null and empty texts have no sentences and stay as they are. Texts shorter
-    than a span are never touched. Repeated rows keep the same sentences.
+    than a span are never touched. A row is known by doc_id and text: different texts
+    under one doc_id, or without one, lose only their own repeats. Rows that repeat an
+    id and its text keep the same sentences; of equal texts without an id, which name
+    no document, all but one lose every span.
     """
     found = repeated_sentences(docs, sentences, words)
-    id_, gone_ = unused(docs, "_id", "_spans")
-    found = found.select(F.col("doc_id").alias(id_), F.col("spans").alias(gone_))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(id_)), "left").drop(id_)
+    id_, gone_, own_, key_, copy_ = unused(docs, "_id", "_spans", "_own", "_key", "_copy")
+    found = found.select(F.col("doc_id").alias(id_), F.col("own").alias(key_), F.col("spans").alias(gone_))
+    others = [F.col(f.name) for f in docs.schema.fields if f.name not in ("doc_id", "text") and isinstance(f.dataType, T.AtomicType)]
+    equal = W.partitionBy(own_).orderBy("doc_id", *others)
+    keyed = docs.withColumn(own_, identity())
+    keyed = keyed.withColumn(copy_, F.col("doc_id").isNull() & (F.row_number().over(equal) > 1))
+    same = (F.col(own_) == F.col(key_)) & F.coalesce(F.col("doc_id") == F.col(id_), F.col("doc_id").isNull() & F.col(id_).isNull())
+    joined = keyed.join(found, same, "left").select(*docs.columns, copy_, gone_)
     out = list(docs.schema.fields)
     names = [f.name for f in out]
     at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
@@ -164,9 +167,13 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
             for from_ in range(0, batch.num_rows, 128):
                 part = batch.slice(from_, 128)
                 columns = list(part.columns)
-                marks = columns.pop()
-                texts, total, removed = [], [], []
-                for text, gone in zip(columns[at_text].to_pylist(), marks.to_pylist(), strict=True):
+                marks, copies = columns.pop().to_pylist(), columns.pop().to_pylist()
+                texts, total, removed, changed = [], [], [], []
+                for text, gone, copy in zip(columns[at_text].to_pylist(), marks, copies, strict=True):
+                    gone = [(g["at"], g["n"]) for g in gone or ()]
+                    if copy:
+                        gone = [(at, n) for at, n, _ in spans(split(text or ""), sentences, words)]
+                    changed.append(bool(gone))
                     if not gone and not counts:
                         texts.append(text)
                         continue
@@ -177,13 +184,13 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
                         removed.append(0)
                         continue
                     cuts = [cut(s) for s in full]
-                    mask = removed_mask(sum(map(len, cuts)), [(g["at"], g["n"]) for g in gone])
+                    mask = removed_mask(sum(map(len, cuts)), gone)
                     texts.append("".join(p for p, m in zip(chain.from_iterable(cuts), mask, strict=True) if not m))
                     marked = iter(mask)
                     removed.append(sum(any([next(marked) for _ in c]) for c in cuts))
                 if at_chars >= 0:
                     old = columns[at_chars].to_pylist()
-                    columns[at_chars] = pa.array([len(t or "") if g else o for t, g, o in zip(texts, marks.is_valid().to_pylist(), old, strict=True)], columns[at_chars].type)
+                    columns[at_chars] = pa.array([len(t or "") if g else o for t, g, o in zip(texts, changed, old, strict=True)], columns[at_chars].type)
                 columns[at_text] = pa.array(texts, columns[at_text].type)
                 extra = [pa.array(total, pa.int32()), pa.array(removed, pa.int32())] if counts else []
                 yield pa.RecordBatch.from_arrays(columns + extra, names=names + [f.name for f in more])

@@ -146,6 +146,20 @@ def test_counts_are_of_sentences(spark):
     assert got == {1: (2, 0), 2: (3, 1)}
 
 
+def test_rows_of_one_id_or_none_lose_only_their_own_repeats(spark):
+    rng = random.Random(8)
+    p = [prose(rng, 8) for _ in range(6)]
+    # both texts of id 5 and of null begin with sentences that stay; p[0] is repeated in one each
+    texts = [(1, p[0], "s"), (5, p[0], "s"), (5, p[1], "s"), (None, p[0], "s"), (None, p[2], "s"), (None, p[3], "s"), (None, p[3], "s"), (None, p[3], "t"), (None, None, "s"), (None, None, "s")]
+    rows = sentences.without_repeats(rows_of(spark, texts)).collect()
+    got = Counter((r.doc_id, r.text) for r in rows)
+    assert got[1, p[0]] == got[5, p[1]] == got[None, p[2]] == got[None, p[3]] == 1
+    assert len(rows) == len(texts) and got[None, None] == 2
+    assert got[5, p[0]] == got[None, p[0]] == 0
+    assert sum(p[3][:40] in (r.text or "") for r in rows) == 1
+    assert all(r.n_chars == len(r.text or "") for r in rows)
+
+
 # 3 and 10
 
 

@@ -11,8 +11,8 @@ and passage besides its means over words and pairs, weighed by a logistic regres
 on leave-one-out values of the training documents.
 
 Counts are numbers of documents that hold the expression. The classifier is fitted on at
-most SAMPLE labelled documents, chosen by a hash of doc_id, and keeps at most
-TERMS words and TERMS pairs that at least LEAST documents hold; the rest count 0.
+most SAMPLE labelled documents, chosen by a hash of doc_id, and keeps all words
+and pairs that at least LEAST of these hold; the rest count 0.
 All documents are scored, whole.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pathshade.llm.ship import shipped
 
-SAMPLE, TERMS, LEAST = 16_000, 200_000, 3
+SAMPLE, LEAST = 16_000, 3
 DISCOUNT, PASSAGE = 0.75, 4
 WORDS = re.compile(r"\w+")
 
@@ -156,8 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         words = F.col("a").isNull() & F.col("b").isNotNull()
         t = counts.agg(*[F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)) for c in (words, F.col("b").isNull()) for n in ("n0", "n1")]).first()
         many = counts.where(F.col("b").isNotNull() & (F.col("n0") + F.col("n1") >= LEAST))
-        top = lambda x: x.orderBy(F.desc(F.col("n0") + F.col("n1")), "a", "b").limit(TERMS).collect()
-        rows = top(many.where("a is null")) + top(many.where("a is not null"))
+        rows = many.orderBy(F.asc_nulls_first("a"), "b").collect()  # bounded by the sample
     finally:
         counts.unpersist()
     model = Model([tuple(r) for r in rows], tuple(int(x) for x in t))

@@ -438,6 +438,14 @@ def test_toxicity(spark, empty):
     assert toxicity.scored(empty, nothing).count() == 0
 
 
+def test_all_terms_of_the_sample_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TERMS", 3, raising=False)  # a limit there once was
+    docs = rows_of(spark, [(i, "one two three four five six", "s") for i in range(40)])
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.train(docs, labels)
+    assert len(model.index) == 6 and len(model.keys) == 5
+
+
 def test_labels_of_held_out_rows_are_not_read(spark):
     docs = rows_of(spark, [(i, "bad word" if i % 2 else "good word", "s") for i in range(80)])
     labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))

@@ -7,7 +7,7 @@ are equal lane by lane, and a paragraph is inserted or deleted by adding or
 subtracting its vector (``combined``). The vector has three parts:
 
 * EXACT_LANES lanes modulo 2**EXACT_BITS: a hash of the whole paragraph under one
-  seed each, 168 bits that decide equality;
+  seed each, 294 bits that decide equality;
 * one lane modulo 2**32: the number n of the paragraph's word pairs;
 * LANES sketch lanes modulo 2**16: each word pair is hashed to a vector of bits.
   A lane of c set bits reads as 2c - n, a sum of random signs, so the normalised
@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-EXACT_LANES, SEEDS, SHIFTS = 4, 2, 21
+EXACT_LANES, SEEDS, SHIFTS = 7, 3, 21
 EXACT_BITS = 42
 LANES = SEEDS * SHIFTS * 3
 SPREAD = (1 << 42) | (1 << 21) | 1

@@ -331,6 +331,12 @@ def test_fingerprints(spark, corpus, docs, empty, monkeypatch):
     assert fingerprints.fingerprint_edits(empty).count() == 0
 
 
+def test_fingerprints_have_all_their_bits(spark):
+    row = fingerprints.fingerprint_edits(rows_of(spark, [(1, "a b c\nd", "s"), (2, "e f", "s")])).first()
+    assert fingerprints.EXACT_LANES * fingerprints.EXACT_BITS >= 256
+    assert len(row.fingerprint) == 11 * fingerprints.EXACT_LANES + 8 + 4 * 189
+
+
 def test_fingerprints_are_homomorphic(spark):
     df = spark.createDataFrame([(0, "a b\nc d e\na b"), (1, "c d e\na b\na b"), (2, "a b"), (3, "c d e\na b")], "k long, text string")
     f = {r.k: r.f for r in fingerprints.fingerprint(df, ["k"]).select("k", F.struct("exact", "n", "lanes").alias("f")).collect()}

@@ -1,19 +1,30 @@
-"""Toxicity by discounted document-frequency ratios and a logistic regression.
-
-This replaces class-conditional Kneser-Ney models compared by length-normalised
-log-likelihood (the README has held-out figures of both). There are no continuation
-counts and no conditional probabilities. For each class the document counts of words, and
-apart from them those of word pairs, are discounted and mixed with the expression's share of
-the documents of both classes; pairs use the words' totals and left-over mass. What is
-not kept weighs nothing (a pair does not back off to its word), and a rare expression
-little. Insults are few in a long text, so a document is judged by its most toxic word
-and passage besides its means over words and pairs, weighed by a logistic regression
-on leave-one-out values of the training documents.
-
-Counts are numbers of documents that hold the expression. The classifier is fitted on at
-most SAMPLE labelled documents, chosen by a hash of doc_id, and keeps all words
-and pairs that at least LEAST of these hold; the rest count 0.
-All documents are scored, whole.
+"""Toxicity by class-conditional Kneser-Ney models of words.
+
+Each class (1 toxic, 0 ordinary) has an interpolated bigram model of four levels::
+
+    P(w | v, class) = kept(c(v, w)) / c(v)    + lost(v)      * P(w | class)
+    P(w | class)    = kept(N(., w)) / N(., .) + lost(class)  * P(w)
+    P(w)            = shared continuation counts, discounted + lost(shared) * Q(w)
+    Q(w)            = (documents of the corpus that hold w, plus 1), normalised
+
+c counts the class's word pairs and N its distinct left contexts (continuation
+counts); P(w) takes the distinct left contexts in both classes together and Kneser and
+Ney's absolute discount n1 / (n1 + 2 n2). Rare expressions thus get their mass from
+counts that both classes share, and so say little about the class. The discount of the
+two class levels grows with the count, by MARGIN standard deviations (its square
+root): what a class has beyond the shared counts is evidence only as far as it exceeds
+chance. With the constant discount of the shared level at all levels, single pairs
+of rare words outweigh insults (held-out figures are in the README).
+
+A text is judged by its length-normalised log-likelihoods, toxic less ordinary: of the
+whole text, and, because insults are few in a long text, the greatest of any
+passage of 1 and of 4 words. A logistic regression turns the three differences into a
+probability; it is fitted on training documents that models of other
+training documents score (FOLDS of them).
+
+The class counts and the regression are fitted on at most SAMPLE labelled documents,
+chosen by a hash of doc_id, and keep every word and pair of these; Q covers all words of all
+documents. All documents are scored, whole. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,13 +34,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pathshade.llm.ship import shipped
+from pathshade.session import written
 
-SAMPLE, LEAST = 16_000, 3
-DISCOUNT, PASSAGE = 0.75, 4
+SAMPLE, FOLDS = 16_000, 4
+#: Standard deviations that the class levels' discounts take: of continuation counts, of pairs.
+MARGIN = (1.0, 5.0)
+PASSAGES = (1, 4)
 WORDS = re.compile(r"\w+")
+START = 0  # the history of a text's first word
 
 
 def held_out(doc_id: Column) -> Column:
@@ -40,76 +56,90 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def discounted(c: np.ndarray) -> np.ndarray:
-    """Counts less a discount of one standard deviation, DISCOUNT at least."""
-    return np.maximum(c - np.maximum(DISCOUNT, np.sqrt(np.maximum(c, 0))), 0)
+def word_hash(word: str) -> int:
+    return (xxhash.xxh3_64_intdigest(word) >> 1) + 1
+
+
+class Hashes(dict):
+    """word -> hash, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        found = self[word] = word_hash(word)
+        return found
+
+
+def discount(c, margin: float):
+    return np.minimum(c, margin * np.sqrt(c))
 
 
 class Model:
-    """Log ratios of the two classes' discounted shares of words and of pairs."""
-
-    def __init__(self, rows, totals):
-        """rows: (first word or None, word, ordinary, toxic documents); totals:
-        (ordinary, toxic) sums over all words, and the documents of either class."""
-        self.index: dict[str, int] = {}
-        singles = [r for r in rows if r[0] is None]
-        for _, w, *_ in singles:
-            self.index[w] = len(self.index)
-        self.c = np.array([[r[2], r[3]] for r in singles], dtype=np.float64).reshape(-1, 2)
-        size = max(1, len(self.index))
-        pairs = sorted((self.index[a] * size + self.index[b], x, y) for a, b, x, y in rows if a is not None and a in self.index and b in self.index)
-        self.keys = np.array([p[0] for p in pairs], dtype=np.int64)
-        self.pc = np.array([p[1:] for p in pairs], dtype=np.float64).reshape(-1, 2)
-        self.size = size
-        self.total = np.maximum(np.array(totals[:2], dtype=np.float64), 1)
-        self.docs = totals[2:]
-        # share of each model's mass that is left to the shared counts: all of
-        # the words below LEAST and the discounts of those kept
-        kept = discounted(self.c).sum(0) if len(self.c) else np.zeros(2)
-        self.rest = np.maximum(1 - kept / self.total, 1e-3)
-        self.weights = np.zeros(5)
-        self.word_ratio = self.ratio(self.c, None)
-        self.pair_ratio = self.ratio(self.pc, None)
-
-    def ratio(self, c: np.ndarray, own: int | None) -> np.ndarray:
-        """Log ratio of the two models for expressions of counts c, each model
-        discounted and backed off to the shared counts. own: the class whose
-        counts hold the text itself."""
-        if own is not None:
-            c = c.copy()
-            c[:, own] = np.maximum(c[:, own] - 1, 0)
-        p = discounted(c) / self.total / self.rest + c.sum(1, keepdims=True) / self.total.sum()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = np.log(p[:, 1] / p[:, 0])
-        r[~np.isfinite(r)] = 0.0
-        return r
-
-    def ratios(self, words: list[str], own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """A log ratio for each word and for each pair; 0 for those not kept."""
-        if not words or not len(self.c):
-            return np.zeros(1), np.zeros(1)
-        get = self.index.get
-        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        r = np.where(ids < 0, 0.0, self.word_ratio[ids] if own is None else self.ratio(self.c[ids], own))
-        pairs = np.zeros(max(1, len(words) - 1))
-        if len(self.keys) and len(words) > 1:
-            key = ids[:-1] * self.size + ids[1:]
-            key[(ids[:-1] < 0) | (ids[1:] < 0)] = -1
+    """The two classes' models over the words of the sample. ``words`` are sorted
+    hashes; ``documents`` their numbers of documents in the corpus, ``rest`` the sum
+    of all other words' and the number of the corpus's words; ``contexts`` the
+    distinct left contexts in class 0, class 1 and both; ``seen`` and ``lost`` the pairs
+    that begin with a word and the discounts taken from them, by class; ``pairs``
+    (v, w, count in class 0, in class 1) those that the discount leaves something of;
+    ``docs`` the training documents of either class."""
+
+    def __init__(self, words, documents, rest, contexts, seen, lost, pairs, docs):
+        n = len(words)
+        self.words, self.docs = words, docs
+        self.weights = np.zeros(2 + len(PASSAGES))
+        mass = float(documents.sum()) + rest[0] + rest[1] + 1
+        q = np.append((documents + 1) / mass, 1 / mass)  # the last is any one word that the sample lacks
+        contexts = np.vstack([contexts, np.zeros((1, 3))])
+        n1, n2 = (contexts[:, 2] == 1).sum(), (contexts[:, 2] == 2).sum()
+        absolute = n1 / (n1 + 2 * n2) if n1 else 0.5  # without a single there is no estimate
+        self.shared = self.level(contexts[:, 2], np.minimum(contexts[:, 2], absolute), q)
+        self.single = np.stack([self.level(contexts[:, y], discount(contexts[:, y], MARGIN[0]), self.shared) for y in (0, 1)])
+        seen, lost = (np.vstack([x, np.zeros((1, 2))]) for x in (seen, lost))
+        self.back = np.where(seen > 0, lost / np.maximum(seen, 1), 1.0).T.copy()
+        v, w = (np.searchsorted(words, pairs[:, k]) for k in (0, 1))
+        key = v * (n + 1) + w
+        order = np.argsort(key)
+        self.keys, count = key[order], pairs[order, 2:].astype(np.float64)
+        self.pair = ((count - discount(count, MARGIN[1])) / np.maximum(seen[v[order]], 1)).T.copy()
+        self.index = None
+
+    @staticmethod
+    def level(count: np.ndarray, off: np.ndarray, below: np.ndarray) -> np.ndarray:
+        total = count.sum()
+        return (count - off + off.sum() * below) / total if total else below
+
+    def ids(self, hashes: list[int]) -> np.ndarray:
+        if self.index is None:  # once a worker
+            self.index = {w: i for i, w in enumerate(self.words.tolist())}
+        n, get = len(self.words), self.index.get
+        return np.fromiter((get(h, n) for h in hashes), dtype=np.int64, count=len(hashes))
+
+    def probabilities(self, hashes: list[int]) -> np.ndarray:
+        """P(w | v, class) of each word of a text, by class."""
+        ids = self.ids([START, *hashes])
+        v, w = ids[:-1], ids[1:]
+        out = self.back[:, v] * self.single[:, w]
+        if len(self.keys):
+            key = v * (len(self.words) + 1) + w
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = np.flatnonzero(self.keys[at] == key)
-            pairs[hit] = self.pair_ratio[at[hit]] if own is None else self.ratio(self.pc[at[hit]], own)
-        return r, pairs
-
-    def features(self, words: list[str], own: int | None = None) -> tuple[float, ...]:
-        r, pairs = self.ratios(words, own)
-        sums = np.concatenate(([0.0], np.cumsum(r)))
-        n = min(PASSAGE, len(r))
-        return float(r.max()), float((sums[n:] - sums[:-n]).max() / n), float(r.mean()), float(pairs.mean())
-
-    def score(self, words: list[str]) -> float:
+            out[:, hit] += self.pair[:, at[hit]]
+        return out
+
+    def features(self, hashes: list[int]) -> list[float]:
+        """Length-normalised log-likelihood, toxic less ordinary, of the text and of
+        its most toxic passage of each length; 0 for a text without words."""
+        if not hashes:
+            return [0.0] * (1 + len(PASSAGES))
+        log = np.log(self.probabilities(hashes))
+        sums = np.concatenate(([0.0], np.cumsum(log[1] - log[0])))
+        lengths = [min(n, len(hashes)) for n in PASSAGES]
+        return [float(sums[-1] / len(hashes)), *(float((sums[n:] - sums[:-n]).max() / n) for n in lengths)]
+
+    def score(self, hashes: list[int]) -> float:
         if not all(self.docs):
             return float(self.docs[1] > 0)
-        return float(1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1:] @ np.array(self.features(words)), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1:] @ np.array(self.features(hashes)), -30, 30))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -128,80 +158,149 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25)
     return np.concatenate(([w[0] - out @ mean], out))
 
 
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): the documents that hold each word, over all rows of ``docs``."""
+
+    def run(batches):
+        known = Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                found = Counter()
+                for text in batch.column(0).slice(at, 512).to_pylist():
+                    found.update(set(words_of(text)))
+                yield pa.RecordBatch.from_pydict({"word": pa.array([known[w] for w in found], pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
+
+    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(v, w, n0 .. n<2 * FOLDS - 1>): occurrences of each word pair in the
+    documents of slot y * FOLDS + fold, from (text, y, fold)."""
+
+    def run(batches):
+        known = Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, found = batch.slice(at, 256), Counter()
+                for text, y, fold in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    hashes = [known[w] for w in words_of(text)]
+                    slot = y * FOLDS + fold
+                    found.update((v, w, slot) for v, w in zip([START, *hashes], hashes))
+                v, w, slot = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_pydict({"v": pa.array(v, pa.int64()), "w": pa.array(w, pa.int64()), "slot": pa.array(slot, pa.int32()), "n": pa.array(list(found.values()), pa.int64())})
+
+    rows = texts.select("text", "y", "fold").mapInArrow(run, "v long, w long, slot int, n long")
+    return rows.groupBy("v", "w").agg(*[F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2 * FOLDS)])
+
+
+def matrix(df: DataFrame) -> np.ndarray:
+    """A bounded table of numbers on the driver."""
+    return np.column_stack([c.to_numpy() for c in df.toArrow().columns])
+
+
+def fitted(pairs: DataFrame, corpus: np.ndarray, rest: tuple[float, float], docs: tuple[int, int], without: int | None) -> Model:
+    """The model of all folds but ``without``. ``corpus`` holds (word, documents) of
+    the sample's words; all that is collected is bounded by the sample."""
+    folds = [f for f in range(FOLDS) if f != without]
+    c = [sum((F.col(f"n{y * FOLDS + f}") for f in folds[1:]), F.col(f"n{y * FOLDS + folds[0]}")) for y in (0, 1)]
+    rows = pairs.select("v", "w", *[x.alias(f"c{y}") for y, x in enumerate(c)]).where("c0 + c1 > 0")
+    off = lambda y: F.least(F.col(y).cast("double"), MARGIN[1] * F.sqrt(y))
+    ends = rows.groupBy(F.col("w").alias("word")).agg(F.count_if(F.col("c0") > 0).alias("a0"), F.count_if(F.col("c1") > 0).alias("a1"), F.count(F.lit(1)).alias("a2")).toArrow()
+    begins = rows.groupBy(F.col("v").alias("word")).agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1"), F.sum(off("c0")).alias("l0"), F.sum(off("c1")).alias("l1")).toArrow()
+    left = matrix(rows.where(f"greatest(c0, c1) > {MARGIN[1] ** 2}"))
+    words = np.union1d(ends["word"].to_numpy(), begins["word"].to_numpy())
+
+    def spread(found, names):
+        out = np.zeros((len(words), len(names)))
+        out[np.searchsorted(words, found["word"].to_numpy())] = np.column_stack([found[c].to_numpy() for c in names])
+        return out
+
+    documents = np.zeros(len(words))
+    at = np.minimum(np.searchsorted(words, corpus[:, 0]), max(0, len(words) - 1))
+    own = words[at] == corpus[:, 0] if len(words) else np.zeros(0, bool)
+    documents[at[own]] = corpus[own, 1]
+    rest = (rest[0] + float(corpus[~own, 1].sum()) if len(words) else rest[0], rest[1])
+    return Model(words, documents, rest, spread(ends, ["a0", "a1", "a2"]), spread(begins, ["s0", "s1"]), spread(begins, ["l0", "l1"]), left, docs)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the labelled rows that are not held out; null labels and null ids
-    take no part. Without rows of both classes every score is 0, or 1 if all are toxic."""
-    known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.when(F.col("toxic") != 0, 1).otherwise(0).alias("y"))
+    take no part, of several labels of one id toxic wins, and every row of ``docs`` with a
+    chosen id is a training document (a null text is an empty one). Without
+    rows of both classes every score is 0, or 1 if all are toxic; empty tables are
+    such a case. No other columns are looked at."""
+    known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("y"))
     share = min(1.0, sample / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")  # about ``sample`` rows of 12 bytes
-
-    def count(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, found = batch.slice(at, 512), [Counter(), Counter()]
-                sizes = [0, 0]
-                for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = words_of(text)
-                    found[y].update((None, w) for w in set(words))
-                    found[y].update(set(zip(words, words[1:])))
-                    sizes[y] += 1
-                terms = list(found[0].keys() | found[1].keys())
-                yield pa.RecordBatch.from_pydict(
-                    {"a": pa.array([t[0] for t in terms] + [None], pa.string()), "b": pa.array([t[1] for t in terms] + [None], pa.string()), "n0": pa.array([found[0][t] for t in terms] + [sizes[0]], pa.int64()), "n1": pa.array([found[1][t] for t in terms] + [sizes[1]], pa.int64())}
-                )
-
-    counts = texts.mapInArrow(count, "a string, b string, n0 long, n1 long").groupBy("a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).persist()
-    try:
-        words = F.col("a").isNull() & F.col("b").isNotNull()
-        t = counts.agg(*[F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)) for c in (words, F.col("b").isNull()) for n in ("n0", "n1")]).first()
-        many = counts.where(F.col("b").isNotNull() & (F.col("n0") + F.col("n1") >= LEAST))
-        rows = many.orderBy(F.asc_nulls_first("a"), "b").collect()  # bounded by the sample
-    finally:
-        counts.unpersist()
-    model = Model([tuple(r) for r in rows], tuple(int(x) for x in t))
-    if all(model.docs):
-        shared = shipped(docs.sparkSession, model)
-
-        def value(batches):
-            m = shared()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about ``sample`` rows of 12 bytes
+    texts = written(texts.select("text", "y", F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "toxicity-sample")
+    sizes = np.zeros((2, FOLDS), np.int64)
+    for r in texts.groupBy("y", "fold").count().collect():
+        sizes[r["y"], r["fold"]] = r["count"]
+    total = tuple(int(x) for x in sizes.sum(1))
+    if not all(total):
+        none = np.zeros(0, np.int64)
+        return Model(none, np.zeros(0), (0.0, 0.0), np.zeros((0, 3)), np.zeros((0, 2)), np.zeros((0, 2)), np.zeros((0, 4), np.int64), total)
+    pairs = written(pair_counts(texts), "toxicity-pairs")
+    corpus = written(corpus_counts(docs), "toxicity-words")
+    whole, kinds = corpus.agg(F.sum("n"), F.count(F.lit(1))).first()
+    own = pairs.select(F.col("w").alias("word")).distinct()
+    held = matrix(corpus.join(own, "word", "left_semi"))
+    rest = (float(whole or 0) - float(held[:, 1].sum()), float(kinds))
+    features, marks = [], []
+    for fold in range(FOLDS):
+        docs_left = tuple(int(x) for x in np.delete(sizes, fold, 1).sum(1))
+        if not sizes[:, fold].sum() or not all(docs_left):
+            continue
+        shared = shipped(docs.sparkSession, fitted(pairs, held, rest, docs_left, fold))
+
+        def value(batches, shared=shared):
+            m, known = shared(), Hashes()
             for batch in batches:
-                f = [m.features(words_of(x), y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"y": batch.column(1).cast(pa.int32()), **{n: pa.array([v[i] for v in f], pa.float64()) for i, n in enumerate(("f1", "f2", "f3", "f4"))}})
-
-        seen = np.array([tuple(r) for r in texts.mapInArrow(value, "y int, f1 double, f2 double, f3 double, f4 double").collect()])
-        model.weights = logistic(seen[:, 1:], seen[:, 0])
+                f = [m.features([known[w] for w in words_of(x)]) for x in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"y": batch.column(1), **{f"f{i}": pa.array([v[i] for v in f], pa.float64()) for i in range(1 + len(PASSAGES))}})
+
+        rows = texts.where(F.col("fold") == fold).select("text", "y").mapInArrow(value, "y int, " + ", ".join(f"f{i} double" for i in range(1 + len(PASSAGES))))
+        rows = matrix(rows)
+        marks.append(rows[:, 0])
+        features.append(rows[:, 1:])
+    model = fitted(pairs, held, rest, total, None)
+    if features:
+        model.weights = logistic(np.concatenate(features), np.concatenate(marks))
     return model
 
 
 def scored(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``. Only the
-    text is an input of the score; null texts are empty; a null doc_id counts as
-    not held out."""
+    text is an input of the score; null texts are empty and score what a text without
+    words does; a null doc_id counts as not held out. Repeated rows are scored alike, texts
+    of any length whole; an empty table gives no rows and other columns are not looked at."""
     shared = shipped(docs.sparkSession, model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        m = shared()
+        m, known = shared(), Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([m.score(words_of(x)) for x in part.column(1).to_pylist()], pa.float64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([m.score([known[w] for w in words_of(x)]) for x in part.column(1).to_pylist()], pa.float64())], schema=schema)
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score below ``least``, in one pass."""
+    """The rows of ``docs`` that score below ``least``, in one pass; null and empty
+    texts score what a text without words does, other columns pass through whatever their names."""
     shared = shipped(docs.sparkSession, model)
     at_text = docs.columns.index("text")
 
     def run(batches):
-        m = shared()
+        m, known = shared(), Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield part.filter(pa.array([m.score(words_of(x)) < least for x in part.column(at_text).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([m.score([known[w] for w in words_of(x)]) < least for x in part.column(at_text).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

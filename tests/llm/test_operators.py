@@ -444,12 +444,62 @@ def test_toxicity(spark, empty):
     assert toxicity.scored(empty, nothing).count() == 0
 
 
-def test_all_terms_of_the_sample_are_kept(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "TERMS", 3, raising=False)  # a limit there once was
-    docs = rows_of(spark, [(i, "one two three four five six", "s") for i in range(40)])
-    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+def brute_kneser_ney(train, corpus):
+    """P(w | v, class) by plain loops over the definition in the module's docstring."""
+    c = {0: Counter(), 1: Counter()}
+    for text, y in train:
+        words = ["<start>", *re.findall(r"\w+", text.lower())]
+        c[y].update(zip(words, words[1:]))
+    held = Counter(w for t in corpus for w in set(re.findall(r"\w+", (t or "").lower())))
+    known = {w for y in (0, 1) for p in c[y] for w in p}
+
+    def q(w):
+        return (held.get(w, 0) + 1) / (sum(held.values()) + len(held) + 1)
+
+    both = Counter(w for _, w in set(c[0]) | set(c[1]))
+    n1, n2 = (sum(x == k for x in both.values()) for k in (1, 2))
+    d = n1 / (n1 + 2 * n2) if n1 else 0.5
+
+    def shared(w):
+        n, total = both.get(w, 0), sum(both.values())
+        return (n - min(n, d) + sum(min(x, d) for x in both.values()) * q(w)) / total
+
+    def single(w, y):
+        left = Counter(w for _, w in c[y])
+        off = lambda x: min(x, toxicity.MARGIN[0] * math.sqrt(x))
+        n, total = left.get(w, 0), sum(left.values())
+        return (n - off(n) + sum(map(off, left.values())) * shared(w)) / total
+
+    def pair(v, w, y):
+        off = lambda x: min(x, toxicity.MARGIN[1] * math.sqrt(x))
+        row = {b: n for (a, b), n in c[y].items() if a == v}
+        if not row:
+            return single(w, y)
+        n = row.get(w, 0)
+        return (n - off(n) + sum(map(off, row.values())) * single(w, y)) / sum(row.values())
+
+    return pair, known, held
+
+
+def test_kneser_ney_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choices(VOCAB[:9] + (["glorp"] if i % 2 else []), k=400 + i)), "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _, _ in texts] + [(1, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    corpus = [*texts, (900, "words that no label has", "s"), (901, None, "s"), (902, "ta", "s")]
+    docs = rows_of(spark, corpus)
     model = toxicity.train(docs, labels)
-    assert len(model.index) == 6 and len(model.keys) == 5
+    out = {r.doc_id: r.held_out for r in toxicity.scored(docs, model).collect()}
+    pair, known, held = brute_kneser_ney([(t, i % 2) for i, t, _ in texts if not out[i]], [t for _, t, _ in corpus])
+    for text in (texts[0][1], texts[7][1], "words that GLORP never kata seen"):
+        words = re.findall(r"\w+", text.lower())
+        got = model.probabilities([toxicity.word_hash(w) for w in words])
+        for k, (v, w) in enumerate(zip(["<start>", *words], words)):
+            for y in (0, 1):  # a word that the sample lacks has the share of one that no document holds
+                assert got[y, k] == pytest.approx(pair(v, w if w in known else "<none>", y), rel=1e-9)
+    for v in [*sorted(known), "<none>"]:  # the words of the corpus and one unknown word share all mass
+        for y in (0, 1):
+            assert sum(pair(v, w, y) for w in [*held, "<none>"]) == pytest.approx(1)
+    assert len(model.words) == len(known) and len(model.keys) > 0
 
 
 def test_labels_of_held_out_rows_are_not_read(spark):

@@ -13,7 +13,10 @@ goes if any occurrence of a span other than its first covers it. A shared passag
 holds a whole span if it has 1 + (WINDOW - 1) + WORDS + WINDOW = 50 words or more.
 
 Occurrences are ordered by doc_id, a hash of the text, then position. Spans are shuffled once and not
-written; a span's occurrences meet in one task, which sorts them with spill.
+written. Before that, each stretch of HELD spans of a partition keeps only the first occurrence of
+each: what comes later there cannot be the first of all, and travels under a key of its
+own. So a span that a third of all documents hold sends one row a stretch to the task
+that ranks it.
 """
 
 from __future__ import annotations
@@ -28,9 +31,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
 
 from pathshade.llm.ship import unused
+from pathshade.session import written
 
 SENTENCES, WORDS = 2, 20
 WINDOW = 15
+#: Distinct spans that a worker holds at a time, about 60 MB.
+HELD = 200_000
 #: A sentence ends after ., ! or ? and white space, or at a line break, which it keeps.
 SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|$)[^\n.!?]*)*(?:[.!?]+(?=\s|$)[^\S\n]*\n*|\n+|$)")
 TOKEN = re.compile(r"\w+")
@@ -97,20 +103,50 @@ def identity() -> Column:
 
 
 def all_spans(docs: DataFrame, sentences: int, words: int) -> DataFrame:
-    schema = pa.schema([("span", pa.binary()), ("doc_id", pa.int64()), ("own", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+    """span, doc_id, own, at, n, later: one row per occurrence, but for those equal in
+    all. later marks occurrences that follow another of their stretch; their span is replaced by
+    a key of their own, of another length."""
+    schema = pa.schema([("span", pa.binary()), ("doc_id", pa.int64()), ("own", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("later", pa.bool_())])
 
     def run(batches):
-        for batch in batches:
-            for from_ in range(0, batch.num_rows, 128):
-                part = batch.slice(from_, 128)
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for doc, own, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for i, n, digest in spans(split(text or ""), sentences, words):
-                        for c, v in zip(out, (digest, doc, own, i, n), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        held: dict[bytes, tuple] = {}
+        rows: list[tuple] = []
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), identity().alias("own"), "text").mapInArrow(run, "span binary, doc_id long, own long, at int, n int")
+        def later(place, n):
+            key = b"%d %d %d" % (place[1], place[2], place[3])
+            return (b"-" + xxhash.xxh3_128_digest(key), None if place[0] else place[1], place[2], place[3], n, True)
+
+        def first(held):
+            found = [(span, None if at[0] else at[1], at[2], at[3], n, False) for span, (at, n) in held.items()]
+            for k in range(0, len(found), 50_000):
+                yield batch_of(found[k : k + 50_000])
+
+        for batch in batches:
+            for doc, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i, n, digest in spans(split(text or ""), sentences, words):
+                    place = (doc is None, doc or 0, own, i)
+                    known = held.get(digest)
+                    if known is None:
+                        held[digest] = (place, n)
+                    elif place > known[0]:
+                        rows.append(later(place, n))
+                    elif place < known[0]:
+                        rows.append(later(*known))
+                        held[digest] = (place, n)
+                if len(rows) >= 50_000:
+                    yield batch_of(rows)
+                    rows = []
+                if len(held) >= HELD:
+                    yield from first(held)
+                    held = {}
+        if rows:
+            yield batch_of(rows)
+        yield from first(held)
+
+    return docs.select(F.col("doc_id").cast("long"), identity().alias("own"), "text").mapInArrow(run, "span binary, doc_id long, own long, at int, n int, later boolean")
 
 
 def repeated_sentences(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
@@ -119,8 +155,8 @@ def repeated_sentences(docs: DataFrame, sentences: int = SENTENCES, words: int =
     by their hash. Rows equal in doc_id and text are one document here, of which equal
     positions are one occurrence."""
     order = W.partitionBy("span").orderBy(F.asc_nulls_last("doc_id"), "own", "at")
-    later = all_spans(docs, sentences, words).withColumn("place", F.rank().over(order)).where("place > 1")
-    return later.groupBy("doc_id", "own").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    gone = all_spans(docs, sentences, words).withColumn("place", F.rank().over(order)).where("later or place > 1")
+    return gone.groupBy("doc_id", "own").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
 def removed_mask(n: int, spans_) -> list[bool]:
@@ -140,7 +176,8 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     """``docs`` without the pieces that repeat earlier spans; all rows and
     columns stay, a text of which nothing is left is empty. n_chars, if present,
     follows the text. counts: also n_sentences and n_removed (sentences that lost
-    a piece or all), which must not be columns of ``docs``.
+    a piece or all); columns of ``docs`` by these names give way to them. An empty table
+    gives no rows.
 
     Null and empty texts have no sentences and stay as they are. Texts shorter
     than a span are never touched. A row is known by doc_id and text: different texts
@@ -148,7 +185,10 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     id and its text keep the same sentences; of equal texts without an id, which name
     no document, all but one lose every span.
     """
-    found = repeated_sentences(docs, sentences, words)
+    # written, so that adaptive execution may split a document that many rows repeat
+    found = written(repeated_sentences(docs, sentences, words), "spans-gone")
+    if counts:
+        docs = docs.drop("n_sentences", "n_removed")
     id_, gone_, own_, key_, copy_ = unused(docs, "_id", "_spans", "_own", "_key", "_copy")
     found = found.select(F.col("doc_id").alias(id_), F.col("own").alias(key_), F.col("spans").alias(gone_))
     others = [F.col(f.name) for f in docs.schema.fields if f.name not in ("doc_id", "text") and isinstance(f.dataType, T.AtomicType)]

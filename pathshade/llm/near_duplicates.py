@@ -25,9 +25,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Window as W
 
 from pathshade.llm.components import components
+from pathshade.llm.ship import unused
 from pathshade.session import written
 
 SHINGLE = 5
@@ -150,21 +152,30 @@ def links_between(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, rig
     return i[linked], j[linked]
 
 
+def identity() -> Column:
+    """With doc_id, names a document: different texts under one id, or none, are
+    different documents."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the shingle set), n, signature, bands for every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, own, digest (of the shingle set; of a text without words, of the
+    text), n, signature, bands for every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         make = Shingler()
         for batch in batches:
             for from_ in range(0, batch.num_rows, 256):
                 part = batch.slice(from_, 256)
-                sets = [make.shingles(t) for t in part.column(1).to_pylist()]
+                texts = part.column(2).to_pylist()
+                sets = [make.shingles(t) for t in texts]
                 sigs = [make.minhash(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).cast(pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        part.column(0),
+                        part.column(1),
+                        pa.array([digest_of(s, t) for s, t in zip(sets, texts, strict=True)], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([s.tobytes() for s in sigs], pa.binary()),
                         pa.array([band_keys(s).tolist() for s in sigs], pa.list_(pa.int64())),
@@ -172,23 +183,35 @@ def signatures(docs: DataFrame) -> DataFrame:
                     schema=schema,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, n long, signature binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identity().alias("own"), "text")
+    return rows.mapInArrow(run, "doc_id long, own long, digest binary, n long, signature binary, bands array<long>")
+
+
+def digest_of(s: np.ndarray, text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"-" + xxhash.xxh3_128_digest((text or "").encode())
 
 
 def _payload(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """cid, block, signature, shingles of the classes to compare, from the text of the
-    class's first document."""
-    rows = docs.select("doc_id", "text").join(classes, docs["doc_id"] == classes["rep"]).select("text", "digest", "cid", "block", "signature")
+    class's first document. The join brings rows that repeat it together, of which
+    neighbours are passed on once."""
+    rows = docs.select(identity().alias("own"), "text").join(classes, "own").select("text", "digest", "cid", "block", "signature")
     schema = pa.schema([("cid", pa.int64()), ("block", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches):
-        make = Shingler()
+        make, last = Shingler(), None
         for batch in batches:
             for from_ in range(0, batch.num_rows, 256):
                 part = batch.slice(from_, 256)
-                sets = [make.shingles(t).tobytes() for t in part.column(0).to_pylist()]
-                own = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, part.column(1).to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(4), pa.array(sets, pa.binary())], schema=schema).filter(own)
+                cids, fresh = part.column(2).to_pylist(), []
+                for c in cids:
+                    fresh.append(c != last)
+                    last = c
+                part = part.filter(pa.array(fresh, pa.bool_()))
+                texts = part.column(0).to_pylist()
+                sets = [make.shingles(t) for t in texts]
+                own = pa.array([digest_of(s, t) == d for s, t, d in zip(sets, texts, part.column(1).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(4), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema).filter(own)
 
     return rows.mapInArrow(run, "cid long, block long, signature binary, shingles binary")
 
@@ -225,20 +248,16 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cid": cid[kept], "links": links[kept], "root": cid[[root(int(x)) for x in kept]] if len(kept) else cid[:0]})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, group_id for every row of ``docs``.
-
-    class_id is the smallest doc_id with the same set of shingles; n_links is the
-    number of other classes at a similarity of 0.8 or more; group_id is the
-    smallest doc_id of all classes that such links connect. Null and empty texts have the empty
-    set and form one class without links; repeated rows are in one class; null
-    ids name no class (null if a class has no other). Empty tables give no rows.
-    """
+def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, ...) of each row, and of each class digest, class_id, own (its first
+    document, in the order of doc_id, null last, and text), n_links, group_id and
+    group_own (the group's first document)."""
     seen = written(signatures(docs), "signatures")
-    classes = seen.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own")
+    classes = seen.groupBy("digest").agg(F.min(first).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    keys = classes.where("n > 0 and rep is not null").select("cid", F.explode("bands").alias("key"))
+    keys = classes.where("n > 0").select("cid", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     members = written(keys.join(shared, "key"), "members")
     labels = members.select("cid", F.col("cid").alias("label")).distinct()
@@ -252,7 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     at = members.join(home, "cid").select("key", "block").distinct()
     pairs = at.join(at.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct()
     pairs = pairs.withColumn("pair", F.struct("block", "other")).select(F.explode(F.array_distinct(F.array("block", "other"))).alias("block"), "pair", (F.col("block") != F.col("other")).alias("cross"))
-    payload = _payload(docs, home.join(classes.select("cid", "rep", "digest", "signature"), "cid"))
+    payload = _payload(docs, home.join(classes.select("cid", F.col("rep.own").alias("own"), "digest", "signature"), "cid"))
     met = pairs.join(payload, "block").select(F.col("pair.block").alias("p"), F.col("pair.other").alias("q"), "block", "cross", "cid", "signature", "shingles")
     found = written(met.groupBy("p", "q").applyInPandas(_meet, "cid long, links long, root long"), "links")
 
@@ -260,15 +279,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     named = classes.select("cid", "digest", "rep").join(links, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.withColumn("component", F.coalesce("component", "cid"))
-    first = named.groupBy("component").agg(F.min("rep").alias("group_id"))
-    named = written(named.join(first, "component").select("digest", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "group_id"), "named")
+    least = named.groupBy("component").agg(F.min("rep").alias("head"))
+    named = named.join(least, "component").select(
+        "digest",
+        F.col("rep.doc_id").alias("class_id"),
+        F.col("rep.own").alias("own"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.col("head.doc_id").alias("group_id"),
+        F.col("head.own").alias("group_own"),
+    )
+    return seen, written(named, "named")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links, group_id for every row of ``docs``.
+
+    class_id is the smallest doc_id with the same set of shingles; n_links is the
+    number of other classes at a similarity of 0.8 or more; group_id is the
+    smallest doc_id of all classes that such links connect. Texts without words have no
+    shingles and no links: equal ones form a class, null and empty texts the same one.
+    Repeated rows are in one class, texts of any length are taken whole. Rows with a null id,
+    and different texts under one id, are documents like all others and are linked; a
+    class or group in which no document has an id has a null class_id or group_id.
+    Empty tables give no rows; other columns are not looked at, whatever their names.
+    """
+    seen, named = classes_of(docs)
     return seen.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "n_links", "group_id")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that open their group: one document of each group
-    of near copies stays, that with the smallest doc_id. A doc_id names one
-    document, of which one row stays; rows with a null doc_id all stay."""
-    found = near_duplicates(docs).where("doc_id = group_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    of near copies stays, that with the smallest doc_id (null last, then by a hash of the text).
+    A document is a doc_id and a text: different texts under one id, or none, are told
+    apart, and of rows that repeat one, one stays. All columns stay, whatever their names."""
+    _, named = classes_of(docs)
+    heads = named.where("own = group_own")
+    own, nth = unused(docs, "_own", "_nth")
+    heads = heads.select(F.col("own").alias(own))
+    others = [F.col(f.name) for f in docs.schema.fields if f.name not in ("doc_id", "text") and isinstance(f.dataType, T.AtomicType)]
+    kept = docs.withColumn(own, identity()).join(heads, own, "left_semi")
+    return kept.withColumn(nth, F.row_number().over(W.partitionBy(own).orderBy("doc_id", *others))).where(F.col(nth) == 1).select(docs.columns)

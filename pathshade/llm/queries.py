@@ -144,12 +144,12 @@ FROM n JOIN g USING (pair_id)
 """,
     "op8_jaccard_join": """
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS t FROM documents
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS t FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS shingle
   FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 4, least(len(t), 1)) + 1)) AS i FROM w)
 ), d AS (
-  SELECT w.doc_id, coalesce(md5(string_agg(s.shingle, '|' ORDER BY s.shingle)), '') AS digest, count(s.shingle) AS n
+  SELECT w.doc_id, coalesce(md5(string_agg(s.shingle, '|' ORDER BY s.shingle)), 'no words: ' || any_value(w.text)) AS digest, count(s.shingle) AS n
   FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
 ), c AS (
   SELECT digest, min(doc_id) AS class_id, min(n) AS n FROM d GROUP BY digest

@@ -101,7 +101,10 @@ def brute_spans(texts):
     return Counter(out)
 
 
-def test_sentence_spans(spark, corpus, docs):
+@pytest.mark.parametrize("held", [sentences.HELD, 7])
+def test_sentence_spans(spark, corpus, docs, empty, monkeypatch, held):
+    monkeypatch.setattr(sentences, "HELD", held)
+    assert sentences.without_repeats(empty).count() == sentences.without_repeats(empty, counts=True).count() == 0
     once = [t for n, t in enumerate(corpus) if t[0] not in {x[0] for x in corpus[:n]}]
     out = sentences.without_repeats(rows_of(spark, once))
     assert out.columns == docs.columns
@@ -141,7 +144,7 @@ def test_a_passage_glued_to_other_words_is_found(spark):
 
 def test_counts_are_of_sentences(spark):
     long = " ".join(f"w{n}" for n in range(60)) + ". "
-    docs = rows_of(spark, [(1, "One two. " + long, "s"), (2, "Three. " + long + "Four five.", "s")]).select("doc_id", "text")
+    docs = rows_of(spark, [(1, "One two. " + long, "s"), (2, "Three. " + long + "Four five.", "s")]).select("doc_id", "text", F.lit("x").alias("n_removed"))
     got = {r.doc_id: (r.n_sentences, r.n_removed) for r in sentences.without_repeats(docs, counts=True).collect()}
     assert got == {1: (2, 0), 2: (3, 1)}
 
@@ -367,28 +370,40 @@ def test_chat_preferences(spark):
 # 8
 
 
-def brute_near(texts):
+def near_classes(texts):
+    """Members (indices into texts) of each class, and the other classes that each is linked to."""
+
     def grams(t):
         w = re.findall(r"\w+", (t or "").lower())
-        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else (t or "")
 
     members = {}
-    for i, t, _ in texts:
-        members.setdefault(grams(t), []).append(i)
-    rep = {g: min((i for i in ids if i is not None), default=None) for g, ids in members.items()}
-    keys = list(members)
-    links = {g: [h for h in keys if h != g and g and h and len(g & h) * 5 >= 4 * len(g | h)] for g in keys}
-    out = Counter()
-    for g in keys:
-        seen, todo = {g}, [g]
-        while todo:
-            for h in links[todo.pop()]:
-                if h not in seen:
-                    seen.add(h)
-                    todo.append(h)
-        for i in members[g]:
-            out[(i, rep[g], len(links[g]), min((rep[h] for h in seen if rep[h] is not None), default=None))] += 1
-    return out
+    for k, (_, t, _) in enumerate(texts):
+        members.setdefault(grams(t), []).append(k)
+    sets = [g for g in members if not isinstance(g, str)]
+    links = {g: [h for h in sets if h != g and len(g & h) * 5 >= 4 * len(g | h)] if not isinstance(g, str) else [] for g in members}
+    return members, links
+
+
+def near_groups(members, links):
+    seen = {}
+    for g in members:
+        if g not in seen:
+            todo, group = [g], {g}
+            while todo:
+                for h in links[todo.pop()]:
+                    if h not in group:
+                        group.add(h)
+                        todo.append(h)
+            seen |= dict.fromkeys(group, group)
+    return seen
+
+
+def brute_near(texts):
+    members, links = near_classes(texts)
+    rep = {g: min((texts[k][0] for k in ks if texts[k][0] is not None), default=None) for g, ks in members.items()}
+    groups = near_groups(members, links)
+    return Counter((texts[k][0], rep[g], len(links[g]), min((rep[h] for h in groups[g] if rep[h] is not None), default=None)) for g in members for k in members[g])
 
 
 def test_near_duplicates(spark, corpus, docs, empty, monkeypatch):
@@ -396,13 +411,37 @@ def test_near_duplicates(spark, corpus, docs, empty, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 3)
     assert Counter(map(tuple, near_duplicates.near_duplicates(docs).collect())) == brute_near(corpus)
     assert near_duplicates.near_duplicates(empty).count() == 0
-
-
-def test_one_of_each_group_stays(spark, corpus, docs):
-    out = near_duplicates.without_near_duplicates(docs)
-    assert out.columns == docs.columns
-    want = {g for _, _, _, g in brute_near(corpus) if g is not None}
-    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted(want)
+    assert near_duplicates.without_near_duplicates(empty).count() == 0
+
+
+def nameless(rng):
+    """Near copies without an id, one id with different texts, texts without words, repeated rows."""
+    x, y, z = (prose(rng, 12) for _ in range(3))
+    odd = lambda t, n: " ".join(w if k != n else "odd" for k, w in enumerate(t.split()))
+    return [(1, x, "s"), (3, y, "s"), (3, odd(x, 5), "s"), (None, z, "s"), (None, odd(z, 9), "s"), (None, odd(z, 9), "t"), (None, odd(x, 20), "s"), (None, prose(rng, 6), "s")] + [
+        (None, "!!!", "s"),
+        (None, "!!!", "s"),
+        (None, "??", "s"),
+        (8, "!!!", "s"),
+        (9, None, "s"),
+        (9, "", "s"),
+        (3, y, "s"),
+    ]
+
+
+def test_rows_without_an_id_are_linked_and_deduplicated(spark, corpus):
+    rng = random.Random(12)
+    for texts in (nameless(rng), list(reversed(nameless(rng))), corpus):
+        docs = rows_of(spark, texts)
+        assert Counter(map(tuple, near_duplicates.near_duplicates(docs).collect())) == brute_near(texts)
+        out = near_duplicates.without_near_duplicates(docs)
+        assert out.columns == docs.columns
+        members, links = near_classes(texts)
+        groups = {frozenset(texts[k][1] or "" for g in group for k in members[g]): [texts[k][0] for g in group for k in members[g]] for group in near_groups(members, links).values()}
+        kept = out.collect()
+        assert len(kept) == len(groups)
+        for alike, ids in groups.items():
+            assert [r.doc_id for r in kept if (r.text or "") in alike] == [min((i for i in ids if i is not None), default=None)]
 
 
 def test_bayesian_cut_keeps_the_threshold():

@@ -60,10 +60,11 @@ class PieceModel:
     kinds: list[int]
     dummy_prefix: bool = True
     squeeze: bool = False  # extra white space is removed
-    normalizer: str = "identity"
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
+        """Models that map characters or force user-defined pieces are refused:
+        neither is done here, and ids would silently differ."""
         pieces, scores, kinds, spec = [], [], [], {}
         with open(path, "rb") as f:
             for number, value in _fields(f.read()):
@@ -74,11 +75,15 @@ class PieceModel:
                     kinds.append(p.get(3, NORMAL))
                 elif number == 3:
                     spec = dict(_fields(value))
-        return cls(pieces, scores, kinds, bool(spec.get(3, 1)), bool(spec.get(4, 1)), spec.get(1, b"").decode())
+        if spec.get(2):
+            raise ValueError(f"{path}: the model maps characters (normaliser {spec.get(1, b'').decode()!r})")
+        if USER in kinds:
+            raise ValueError(f"{path}: the model has user-defined pieces")
+        return cls(pieces, scores, kinds, bool(spec.get(3, 1)), bool(spec.get(4, 1)))
 
     def matched(self) -> list[tuple[str, int, float]]:
         """(piece, id, score) of the pieces that occur in texts."""
-        return [(p, i, s) for i, (p, s, k) in enumerate(zip(self.pieces, self.scores, self.kinds, strict=True)) if k in (NORMAL, USER, UNUSED) and p]
+        return [(p, i, s) for i, (p, s, k) in enumerate(zip(self.pieces, self.scores, self.kinds, strict=True)) if k in (NORMAL, UNUSED) and p]
 
 
 class Remembered(dict):
@@ -192,7 +197,9 @@ def _mapped(docs: DataFrame, make, columns: list[tuple[str, str, pa.DataType]],
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, ids, score of every whole text; a null text is empty and has no ids."""
+    """doc_id, ids, score of every whole text. A null text is empty and has no ids,
+    repeated rows are encoded alike, texts of any length whole; null ids stay null, an empty table
+    gives no rows, and other columns are not looked at, whatever their names."""
     model = shipped(docs.sparkSession, PieceModel.load(path))
 
     def make():
@@ -202,7 +209,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, text from doc_id, ids (null ids: an empty text)."""
+    """doc_id, text from doc_id, ids (null ids: an empty text). Repeated rows are
+    decoded alike, an empty table gives no rows, other columns are not looked at."""
     model = shipped(tokens.sparkSession, PieceModel.load(path))
     schema = pa.schema([(id_col, pa.int64()), ("text", pa.string())])
 
@@ -218,7 +226,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, score, ids_sha256 (of the ids as little-endian 32-bit
-    integers) and whether decoding gives the text again. Null texts are empty."""
+    integers) and whether decoding gives the text again, for every row as ``encode`` treats it."""
     model = shipped(docs.sparkSession, PieceModel.load(path))
 
     def make():
@@ -238,33 +246,48 @@ class LongestMatchCounter:
 
     A trie holds the pieces that begin a word and, below a second root, those
     that continue one. A node's failure link leads to the node reached once the
-    longest pieces that match are popped off; only their number is kept. A word
-    that cannot be segmented is one unknown token.
+    longest pieces that match are popped off; only their number is kept. A piece that
+    begins words and is empty is the mark of a word's beginning alone.
+
+    With ``bytes_`` a character at which no piece begins becomes its UTF-8 bytes, so
+    every word has a count; else a word that cannot be segmented is one unknown token.
     """
 
-    def __init__(self, first: list[str], inner: list[str]):
+    def __init__(self, first: list[str], inner: list[str], bytes_: bool = False):
+        self.bytes_ = bytes_
         self.go: list[dict[str, int]] = [{}, {}]
-        ends: dict[int, bool] = {}
-        for root, words in ((0, first), (1, inner)):
-            for w in words:
-                node = root
-                for c in w:
-                    nxt = self.go[node].get(c)
-                    if nxt is None:
-                        nxt = self.go[node][c] = len(self.go)
-                        self.go.append({})
-                    node = nxt
-                if w:
-                    ends[node] = True
+        ends: dict[int, int] = {}
+
+        def add(root: int, word: str, pieces: int) -> None:
+            node = root
+            for c in word:
+                nxt = self.go[node].get(c)
+                if nxt is None:
+                    nxt = self.go[node][c] = len(self.go)
+                    self.go.append({})
+                node = nxt
+            ends.setdefault(node, pieces)
+
+        for w in first:
+            add(0, w, 1)
+        for w in inner:
+            if w:
+                add(1, w, 1)
+        if bytes_:
+            add(0, "", len(SPACE.encode()))
+            for c in set("".join([*first, *inner])):
+                add(1, c, len(c.encode()))
         size = len(self.go)
         self.fail: list[int] = [-1] * size
         self.pops: list[int] = [0] * size
+        if 0 in ends:
+            self.fail[0], self.pops[0] = 1, ends[0]
         todo = deque((0, 1))
         while todo:
             u = todo.popleft()
             for c, v in self.go[u].items():
                 if v in ends:
-                    self.fail[v], self.pops[v] = 1, 1
+                    self.fail[v], self.pops[v] = 1, ends[v]
                 else:
                     z, n = self.fail[u], self.pops[u]
                     while z >= 0 and c not in self.go[z]:
@@ -277,7 +300,7 @@ class LongestMatchCounter:
     @classmethod
     def of(cls, model: PieceModel) -> LongestMatchCounter:
         words = [p for p, _, _ in model.matched()]
-        return cls([p[1:] for p in words if p.startswith(SPACE) and len(p) > 1], [p for p in words if not p.startswith(SPACE)])
+        return cls([p[1:] for p in words if p.startswith(SPACE)], [p for p in words if not p.startswith(SPACE)], model.kinds.count(BYTE) == 256)
 
     def count(self, word: str) -> int:
         """Pieces of the word; 0: it cannot be segmented."""
@@ -285,6 +308,10 @@ class LongestMatchCounter:
         node = n = 0
         for c in word:
             while (nxt := go[node].get(c)) is None:
+                if node == 1 and self.bytes_:
+                    n += len(c.encode())
+                    nxt = 1
+                    break
                 n += pops[node]
                 node = fail[node]
                 if node < 0:
@@ -303,7 +330,8 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_tokens (an unknown word is one token), n_unknown of
-    every whole text; null and empty texts have none."""
+    every whole text; null and empty texts have none. Repeated rows are counted alike, texts of any
+    length whole; null ids stay null, an empty table gives no rows, other columns are not looked at."""
     counter = shipped(docs.sparkSession, LongestMatchCounter.of(PieceModel.load(path)))
 
     def make():

@@ -343,6 +343,14 @@ def test_exact_topk(spark):
     assert exact_topk(vectors.where("vec_id = 0"), vectors.where("vec_id in (0, 50)"), 5).count() == 1
 
 
+def test_topk_of_repeated_and_missing_ids(spark):
+    rows = [(0, [1, 2])] + [(9, [3, 3])] * 7 + [(None, [3, 3]), (4, [3, 3]), (0, [5, 5])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    for blocks in ({}, {"query_block": 1, "candidate_block": 2}):
+        got = [(r["rank"], r.vec_id, r.score) for r in exact_topk(df.where("vec_id = 0 and vector[0] = 1"), df, 7, **blocks).orderBy("rank").collect()]
+        assert got == [(1, 4, 9)] + [(n, 9, 9) for n in range(2, 8)]
+
+
 def test_topk_of_huge_components(spark):
     df = spark.createDataFrame([(0, [2**40, 1]), (1, [2**40, 5]), (2, [2**40, 4])], "vec_id long, vector array<long>")
     got = [(r.vec_id, r.score) for r in exact_topk(df.where("vec_id = 0"), df).orderBy("rank").collect()]

@@ -9,15 +9,17 @@ multivariate hypergeometric law and stay exact. A leaf then draws its quota of
 every source's permuted blocks, disjoint from all other leaves, and shuffles its
 documents locally.
 
-The quota units number ``shards * units`` plus one per source, whatever the
-size of the corpus.
+The quota units number ``shards * units`` plus one per source. A shard is as many
+tasks as its words ask for, so the tree's size and a task's are both bounded whatever
+the size of the corpus; the ranges in which prefix sums run hold RANGE_ROWS documents
+on average.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from pathshade.llm.ship import unused
@@ -25,9 +27,9 @@ from pathshade.session import written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
-SHARD_WORDS = 1 << 20
-#: Pieces that a shard's rows are dealt into when they are laid out.
-PIECES = 4
+#: Words a task lays out, leaves of the tree at most (beyond that a leaf is several tasks).
+TASK_WORDS, LEAVES = 1 << 18, 1 << 12
+RANGE_ROWS = 1 << 14
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -66,32 +68,42 @@ def split_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return leaves.withColumn("first", F.sum("quota").over(before) - F.col("quota"))
 
 
-def tree_depth(words: float) -> int:
-    """Shards of about SHARD_WORDS words, 16 to 4096 of them."""
-    return min(12, max(4, math.ceil(math.log2(max(1.0, words / SHARD_WORDS)))))
+def layout(words: float) -> tuple[int, int]:
+    """Depth of the tree, and tasks a leaf, for a mix of so many words."""
+    tasks = max(1, math.ceil(words / TASK_WORDS))
+    depth = math.ceil(math.log2(min(tasks, LEAVES)))
+    return depth, math.ceil(tasks / (1 << depth))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, depth: int | None = None, units: int = 64, buckets: int = 1024, seed: int = 20) -> DataFrame:
-    """One row per document and pass: doc_id, source, digest, copy, size,
-    source_size, target, pass, words, shard, position.
+def identity() -> list[Column]:
+    """Two hashes that with doc_id name a document."""
+    return [F.xxhash64("doc_id", "source", "text").alias("digest"), F.hash("text", "source").alias("check")]
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, depth: int | None = None, units: int = 64, buckets: int | None = None, seed: int = 20) -> DataFrame:
+    """One row per document and pass: doc_id, source, digest, check, copy, size,
+    source_size, target, pass, words, shard, position, task.
 
     Reads doc_id, source and text of ``docs``. ``words`` of the document are
     taken in that pass, its leading ones (all but at the end of a source's
     quota); a document that the mix does not take has one row of pass 0, no
     words and no shard. Null texts have size 0, a null source is a source of its
     own, repeated rows are documents of their own, numbered by ``copy`` among
-    those equal in all three columns. Empty tables give no rows. Reruns agree.
+    those equal in doc_id and two hashes of all three columns. Empty tables give no rows.
+    Reruns agree. Other columns are not looked at, whatever their names.
 
     A hot source is spread over ``buckets`` ranges of its permutation; prefix sums
     run in each range and over the ranges' totals.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    skinny = written(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "source", "text").alias("digest")), "mix")
+    skinny = written(docs.select("doc_id", "source", size.alias("size"), *identity()), "mix")
+    if buckets is None:
+        buckets = max(1, math.ceil(skinny.count() / RANGE_ROWS))
     skinny = skinny.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "digest"), F.lit(buckets)))
     by_range = skinny.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     by_range = written(by_range, "mix-ranges")
-    if depth is None:
-        depth = tree_depth(share * (by_range.agg(F.sum("words")).first()[0] or 0))
+    asked, tasks = layout(share * (by_range.agg(F.sum("words")).first()[0] or 0))
+    depth = asked if depth is None else depth
     aims = targets(by_range.groupBy("source").agg(F.sum("n").alias("n"), F.sum("words").alias("source_size")), weights, share, most)
     block = F.greatest(F.lit(1.0), F.ceil(F.sum("target").over(W.partitionBy()) / (units << depth)).cast("double"))
     aims = aims.withColumn("block", block).withColumn("quota_words", F.round("target").cast("long"))
@@ -103,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
     placed = skinny.join(ranges, same(skinny, ranges) & (skinny["bucket"] == ranges["bucket"])).select(skinny["*"], "start", "source_size", "rank", "target", "quota_words", "block")
     order = W.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), "digest"), "digest", "doc_id")
-    equal = W.partitionBy("source", "bucket", "digest").orderBy("doc_id")
+    equal = W.partitionBy("source", "bucket", "digest", "check", "doc_id").orderBy("digest")
     at = F.col("start") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     placed = placed.withColumn("at", at).withColumn("copy", F.row_number().over(equal))
     passes = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)) - 1).cast("int")))
@@ -114,36 +126,40 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     runs = split_tree(aims.select("rank", "blocks"), depth, seed)
     numbered = aims.where("blocks > 0").select("rank", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("unit"))
     permuted = numbered.withColumn("turn", F.row_number().over(W.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 2), "rank", "unit"), "unit")) - 1)
-    on = (permuted["rank"] == runs["rank"]) & (permuted["turn"] >= runs["first"]) & (permuted["turn"] < runs["first"] + runs["quota"])
-    drawn = written(permuted.join(runs, on).select(permuted["rank"], "unit", "shard"), "mix-blocks")
+    turns = runs.select("rank", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("turn"))
+    drawn = written(permuted.join(turns, ["rank", "turn"]).select("rank", "unit", "shard"), "mix-blocks")
 
     on = (pieces["rank"] == drawn["rank"]) & (pieces["unit"] == drawn["unit"]) & (pieces["words"] > 0)
-    out = pieces.join(drawn, on, "left")
+    out = pieces.join(drawn, on, "left")  # the blocks of a source are many keys
     out = out.withColumn("words", F.when(F.col("shard").isNotNull(), F.col("words")).otherwise(F.lit(0).cast("long")))
-    position = F.xxhash64(F.lit(seed + 3), "digest", "copy", "pass")
-    return out.select("doc_id", "source", "digest", "copy", "size", "source_size", "target", "pass", "words", "shard", position.alias("position"))
+    out = out.withColumn("position", F.xxhash64(F.lit(seed + 3), "digest", "check", "copy", "pass"))
+    task = F.pmod("position", F.lit(tasks)).cast("int")
+    return out.select("doc_id", "source", "digest", "check", "copy", "size", "source_size", "target", "pass", "words", "shard", "position", task.alias("task"))
 
 
 def mix_sizes(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     rows = mix(docs, **options)
-    out = rows.groupBy("source", "digest", "copy", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
+    out = rows.groupBy("source", "digest", "check", "copy", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: ``docs`` with rows repeated or left out as it says, in
     shards whose rows are in shuffled order. The document at the end of a
-    source's quota keeps its leading words."""
-    names = ("digest", "copy", "size", "words", "shard", "position")
-    digest, copy, size, words, shard, position = new = unused(docs, *[f"_mix_{n}" for n in names])
+    source's quota keeps its leading words. Null texts have no words and are left out,
+    an empty table gives no rows, columns may have any names."""
+    names = ("digest", "check", "copy", "size", "words", "shard", "position", "task", "doc_id")
+    digest, check, copy, size, words, shard, position, task, own_id = new = unused(docs, *[f"_mix_{n}" for n in names])
     rows = mix(docs, **options).where("words > 0").select(*[F.col(n).alias(x) for n, x in zip(names, new, strict=True)])
-    own, own_copy = unused(docs, "_own_digest", "_own_copy")
-    keyed = docs.withColumn(own, F.xxhash64("doc_id", "source", "text")).withColumn(own_copy, F.row_number().over(W.partitionBy(own).orderBy("doc_id")))
-    whole = keyed.join(rows, (F.col(own) == F.col(digest)) & (F.col(own_copy) == F.col(copy)))
+    own, own_check, own_copy = unused(docs, "_own_digest", "_own_check", "_own_copy")
+    keyed = docs.withColumns(dict(zip((own, own_check), identity(), strict=True)))
+    keyed = keyed.withColumn(own_copy, F.row_number().over(W.partitionBy(own, own_check, "doc_id").orderBy(own)))
+    on = (F.col(own) == F.col(digest)) & (F.col(own_check) == F.col(check)) & F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(own_copy) == F.col(copy))
+    whole = keyed.join(rows, on)
     cut = F.col(words) < F.col(size)
     leading = F.array_join(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col(words).cast("int")), "")
     out = whole.withColumn("text", F.when(cut, leading).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.repartition(shard, F.pmod(position, F.lit(PIECES))).sortWithinPartitions(shard, position).select(docs.columns)
+    return out.repartition(shard, task).sortWithinPartitions(shard, task, position).select(docs.columns)

@@ -175,52 +175,67 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
 def pair_counts(texts: DataFrame) -> DataFrame:
     """(v, w, n0 .. n<2 * FOLDS - 1>): occurrences of each word pair in the
-    documents of slot y * FOLDS + fold, from (text, y, fold)."""
+    documents of slot y * FOLDS + fold, from (text, y, fold). Rows lie by w."""
 
     def run(batches):
         known = Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, found = batch.slice(at, 256), Counter()
-                for text, y, fold in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for at in range(0, batch.num_rows, 1024):
+                found = Counter()
+                for text, y, fold in zip(*(c.slice(at, 1024).to_pylist() for c in batch.columns), strict=True):
                     hashes = [known[w] for w in words_of(text)]
                     slot = y * FOLDS + fold
                     found.update((v, w, slot) for v, w in zip([START, *hashes], hashes))
                 v, w, slot = zip(*found) if found else ((), (), ())
-                yield pa.RecordBatch.from_pydict({"v": pa.array(v, pa.int64()), "w": pa.array(w, pa.int64()), "slot": pa.array(slot, pa.int32()), "n": pa.array(list(found.values()), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"v": pa.array(v, pa.int64()), "w": pa.array(w, pa.int64()), "slot": pa.array(slot, pa.int32()), "n": pa.array(list(found.values()), pa.int32())})
 
-    rows = texts.select("text", "y", "fold").mapInArrow(run, "v long, w long, slot int, n long")
-    return rows.groupBy("v", "w").agg(*[F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2 * FOLDS)])
+    rows = texts.select("text", "y", "fold").mapInArrow(run, "v long, w long, slot int, n int").repartition("w")
+    return rows.groupBy("v", "w").agg(*[F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)).cast("int").alias(f"n{k}") for k in range(2 * FOLDS)])
 
 
 def matrix(df: DataFrame) -> np.ndarray:
-    """A bounded table of numbers on the driver."""
+    """A table of numbers, bounded by the sample, on the driver."""
     return np.column_stack([c.to_numpy() for c in df.toArrow().columns])
 
 
-def fitted(pairs: DataFrame, corpus: np.ndarray, rest: tuple[float, float], docs: tuple[int, int], without: int | None) -> Model:
-    """The model of all folds but ``without``. ``corpus`` holds (word, documents) of
-    the sample's words; all that is collected is bounded by the sample."""
-    folds = [f for f in range(FOLDS) if f != without]
-    c = [sum((F.col(f"n{y * FOLDS + f}") for f in folds[1:]), F.col(f"n{y * FOLDS + folds[0]}")) for y in (0, 1)]
-    rows = pairs.select("v", "w", *[x.alias(f"c{y}") for y, x in enumerate(c)]).where("c0 + c1 > 0")
-    off = lambda y: F.least(F.col(y).cast("double"), MARGIN[1] * F.sqrt(y))
-    ends = rows.groupBy(F.col("w").alias("word")).agg(F.count_if(F.col("c0") > 0).alias("a0"), F.count_if(F.col("c1") > 0).alias("a1"), F.count(F.lit(1)).alias("a2")).toArrow()
-    begins = rows.groupBy(F.col("v").alias("word")).agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1"), F.sum(off("c0")).alias("l0"), F.sum(off("c1")).alias("l1")).toArrow()
-    left = matrix(rows.where(f"greatest(c0, c1) > {MARGIN[1] ** 2}"))
-    words = np.union1d(ends["word"].to_numpy(), begins["word"].to_numpy())
-
-    def spread(found, names):
-        out = np.zeros((len(words), len(names)))
-        out[np.searchsorted(words, found["word"].to_numpy())] = np.column_stack([found[c].to_numpy() for c in names])
+class Counts:
+    """What the models of all folds need of the sample's pairs: the distinct
+    left contexts of each word without each fold (and without none), its
+    occurrences as a left context by slot, and the pairs of which the discount leaves something."""
+
+    def __init__(self, pairs: DataFrame, corpus: DataFrame, rest: tuple[float, float]):
+        n = lambda y: [F.col(f"n{y * FOLDS + f}") for f in range(FOLDS)]
+        total = [sum(n(y)[1:], n(y)[0]) for y in (0, 1)]
+        ends = []
+        for without in [*range(FOLDS), None]:
+            c = [t if without is None else t - n(y)[without] for y, t in enumerate(total)]
+            ends += [F.count_if(x > 0).cast("int") for x in (*c, c[0] + c[1])]
+        ends = matrix(pairs.groupBy("w").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)]))
+        begins = matrix(pairs.groupBy("v").agg(*[F.sum(f"n{k}").cast("int").alias(f"n{k}") for k in range(2 * FOLDS)]))
+        self.left = matrix(pairs.where(F.greatest(*total) > MARGIN[1] ** 2)).astype(np.int64)
+        self.words = np.union1d(ends[:, 0], begins[:, 0]).astype(np.int64)
+        self.ends, self.begins = self.spread(ends), self.spread(begins)
+        held = matrix(corpus.join(pairs.select(F.col("w").alias("word")).distinct(), "word", "left_semi"))
+        self.documents = self.spread(held)[:, 0].astype(np.float64)
+        self.rest = (rest[0] - self.documents.sum(), rest[1])
+
+    def spread(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.words), rows.shape[1] - 1), np.int32)
+        out[np.searchsorted(self.words, rows[:, 0])] = rows[:, 1:]
         return out
 
-    documents = np.zeros(len(words))
-    at = np.minimum(np.searchsorted(words, corpus[:, 0]), max(0, len(words) - 1))
-    own = words[at] == corpus[:, 0] if len(words) else np.zeros(0, bool)
-    documents[at[own]] = corpus[own, 1]
-    rest = (rest[0] + float(corpus[~own, 1].sum()) if len(words) else rest[0], rest[1])
-    return Model(words, documents, rest, spread(ends, ["a0", "a1", "a2"]), spread(begins, ["s0", "s1"]), spread(begins, ["l0", "l1"]), left, docs)
+    def model(self, docs: tuple[int, int], without: int | None = None) -> Model:
+        """The model of all folds but ``without``; docs: its documents by class."""
+        folds = [f for f in range(FOLDS) if f != without]
+        by_class = lambda c: np.column_stack([c[:, [y * FOLDS + f for f in folds]].sum(1) for y in (0, 1)])
+        at = 3 * (FOLDS if without is None else without)
+        pairs = np.column_stack([self.left[:, :2], by_class(self.left[:, 2:])])
+        pairs = pairs[pairs[:, 2:].max(1, initial=0) > MARGIN[1] ** 2]
+        seen = by_class(self.begins).astype(np.float64)
+        lost = seen.copy()  # the discount takes all of a pair below MARGIN ** 2, and this of the others
+        count = pairs[:, 2:].astype(np.float64)
+        np.subtract.at(lost, np.searchsorted(self.words, pairs[:, 0]), count - discount(count, MARGIN[1]))
+        return Model(self.words, self.documents, self.rest, self.ends[:, at : at + 3].astype(np.float64), seen, lost, pairs, docs)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -245,15 +260,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     pairs = written(pair_counts(texts), "toxicity-pairs")
     corpus = written(corpus_counts(docs), "toxicity-words")
     whole, kinds = corpus.agg(F.sum("n"), F.count(F.lit(1))).first()
-    own = pairs.select(F.col("w").alias("word")).distinct()
-    held = matrix(corpus.join(own, "word", "left_semi"))
-    rest = (float(whole or 0) - float(held[:, 1].sum()), float(kinds))
+    counts = Counts(pairs, corpus, (float(whole or 0), float(kinds)))
     features, marks = [], []
     for fold in range(FOLDS):
         docs_left = tuple(int(x) for x in np.delete(sizes, fold, 1).sum(1))
         if not sizes[:, fold].sum() or not all(docs_left):
             continue
-        shared = shipped(docs.sparkSession, fitted(pairs, held, rest, docs_left, fold))
+        shared = shipped(docs.sparkSession, counts.model(docs_left, fold))
 
         def value(batches, shared=shared):
             m, known = shared(), Hashes()
@@ -265,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         rows = matrix(rows)
         marks.append(rows[:, 0])
         features.append(rows[:, 1:])
-    model = fitted(pairs, held, rest, total, None)
+    model = counts.model(total)
     if features:
         model.weights = logistic(np.concatenate(features), np.concatenate(marks))
     return model

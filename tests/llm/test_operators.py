@@ -75,6 +75,15 @@ def test_warc_revisits(spark):
     assert got == want
 
 
+def test_warc_hot_digests_and_large_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 1)
+    monkeypatch.setattr(warc, "HOT", 2)
+    pages = [(n, "u", "a" * 200) for n in range(20)] + [(30 + n, "u", "b" * 300) for n in range(4)] + [(50, "u", "c" * 40_000), (51, "u", "c" * 40_000), (60, "u", "d" * 120), (61, "u", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.refers_to) for r in warc.deduplicated_pages(df).collect()}
+    assert got == {i: (len(h), {"a": 0, "b": 30, "c": 50}.get(h[:1]) if i not in (0, 30, 50) else None) for i, _, h in pages}
+
+
 def test_warc_empty(spark):
     assert warc.deduplicated_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

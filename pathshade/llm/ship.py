@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +21,22 @@ def shipped(spark: SparkSession, model):
     return copy
 
 
+@contextmanager
+def lent(spark: SparkSession, model):
+    """As ``shipped``, for plans that end inside: the copies' files are deleted."""
+    state, kind = spark.sparkContext.broadcast(model.__dict__), type(model)
+
+    def copy():
+        out = kind.__new__(kind)
+        out.__dict__.update(state.value)
+        return out
+
+    try:
+        yield copy
+    finally:
+        state.destroy()
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, prefixed until none is a column of ``df``."""
     taken = {c.lower() for c in df.columns}

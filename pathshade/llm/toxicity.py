@@ -37,8 +37,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathshade.llm.ship import shipped
-from pathshade.session import written
+from pathshade.llm.ship import lent, shipped
+from pathshade.session import delete, scratch, written
 
 SAMPLE, FOLDS = 16_000, 4
 #: Standard deviations that the class levels' discounts take: of continuation counts, of pairs.
@@ -86,7 +86,6 @@ class Model:
     def __init__(self, words, documents, rest, contexts, seen, lost, pairs, docs):
         n = len(words)
         self.words, self.docs = words, docs
-        self.weights = np.zeros(2 + len(PASSAGES))
         mass = float(documents.sum()) + rest[0] + rest[1] + 1
         q = np.append((documents + 1) / mass, 1 / mass)  # the last is any one word that the sample lacks
         contexts = np.vstack([contexts, np.zeros((1, 3))])
@@ -126,13 +125,40 @@ class Model:
             out[:, hit] += self.pair[:, at[hit]]
         return out
 
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+
+class Scorer:
+    """What scoring needs of a model: log ratios of the classes' probabilities, which
+    without a kept pair are a sum of one for the history and one for the word."""
+
+    def __init__(self, model: Model, weights: np.ndarray | None = None):
+        self.words, self.docs, self.keys, self.weights, self.index = model.words, model.docs, model.keys, weights, None
+        ratio = lambda x: np.log(x[1]) - np.log(x[0])
+        self.history, self.word = ratio(model.back).astype(np.float32), ratio(model.single).astype(np.float32)
+        v, w = np.divmod(model.keys, len(model.words) + 1)
+        self.pair = ratio(model.back[:, v] * model.single[:, w] + model.pair).astype(np.float32)
+
+    ids = Model.ids
+
+    def ratios(self, hashes: list[int]) -> np.ndarray:
+        ids = self.ids([START, *hashes])
+        v, w = ids[:-1], ids[1:]
+        out = self.history[v].astype(np.float64) + self.word[w]
+        if len(self.keys):
+            key = v * (len(self.words) + 1) + w
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == key)
+            out[hit] = self.pair[at[hit]]
+        return out
+
     def features(self, hashes: list[int]) -> list[float]:
         """Length-normalised log-likelihood, toxic less ordinary, of the text and of
         its most toxic passage of each length; 0 for a text without words."""
         if not hashes:
             return [0.0] * (1 + len(PASSAGES))
-        log = np.log(self.probabilities(hashes))
-        sums = np.concatenate(([0.0], np.cumsum(log[1] - log[0])))
+        sums = np.concatenate(([0.0], np.cumsum(self.ratios(hashes))))
         lengths = [min(n, len(hashes)) for n in PASSAGES]
         return [float(sums[-1] / len(hashes)), *(float((sums[n:] - sums[:-n]).max() / n) for n in lengths)]
 
@@ -238,12 +264,9 @@ class Counts:
         return Model(self.words, self.documents, self.rest, self.ends[:, at : at + 3].astype(np.float64), seen, lost, pairs, docs)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the labelled rows that are not held out; null labels and null ids
-    take no part, of several labels of one id toxic wins, and every row of ``docs`` with a
-    chosen id is a training document (a null text is an empty one). Without
-    rows of both classes every score is 0, or 1 if all are toxic; empty tables are
-    such a case. No other columns are looked at."""
+def counted(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, np.ndarray, Counts | None]:
+    """The training texts, their numbers by class and fold, and their counts (none
+    without both classes)."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("y"))
     share = min(1.0, sample / max(1, known.count()))
@@ -253,38 +276,54 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     sizes = np.zeros((2, FOLDS), np.int64)
     for r in texts.groupBy("y", "fold").count().collect():
         sizes[r["y"], r["fold"]] = r["count"]
-    total = tuple(int(x) for x in sizes.sum(1))
-    if not all(total):
-        none = np.zeros(0, np.int64)
-        return Model(none, np.zeros(0), (0.0, 0.0), np.zeros((0, 3)), np.zeros((0, 2)), np.zeros((0, 2)), np.zeros((0, 4), np.int64), total)
+    if not sizes.sum(1).all():
+        return texts, sizes, None
     pairs = written(pair_counts(texts), "toxicity-pairs")
     corpus = written(corpus_counts(docs), "toxicity-words")
     whole, kinds = corpus.agg(F.sum("n"), F.count(F.lit(1))).first()
-    counts = Counts(pairs, corpus, (float(whole or 0), float(kinds)))
+    return texts, sizes, Counts(pairs, corpus, (float(whole or 0), float(kinds)))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
+    """Fit on the labelled rows that are not held out; null labels and null ids
+    take no part, of several labels of one id toxic wins, and every row of ``docs`` with a
+    chosen id is a training document (a null text is an empty one). Without
+    rows of both classes every score is 0, or 1 if all are toxic; empty tables are
+    such a case. No other columns are looked at."""
+    with scratch() as spent:
+        model = fitted(docs, labels, sample)
+    for path in spent:
+        delete(docs.sparkSession, path)
+    return model
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int) -> Scorer:
+    texts, sizes, counts = counted(docs, labels, sample)
+    total = tuple(int(x) for x in sizes.sum(1))
+    if counts is None:
+        none = np.zeros(0, np.int64)
+        return Model(none, np.zeros(0), (0.0, 0.0), np.zeros((0, 3)), np.zeros((0, 2)), np.zeros((0, 2)), np.zeros((0, 4), np.int64), total).scorer()
     features, marks = [], []
     for fold in range(FOLDS):
         docs_left = tuple(int(x) for x in np.delete(sizes, fold, 1).sum(1))
         if not sizes[:, fold].sum() or not all(docs_left):
             continue
-        shared = shipped(docs.sparkSession, counts.model(docs_left, fold))
+        with lent(docs.sparkSession, counts.model(docs_left, fold).scorer()) as shared:
 
-        def value(batches, shared=shared):
-            m, known = shared(), Hashes()
-            for batch in batches:
-                f = [m.features([known[w] for w in words_of(x)]) for x in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"y": batch.column(1), **{f"f{i}": pa.array([v[i] for v in f], pa.float64()) for i in range(1 + len(PASSAGES))}})
+            def value(batches, shared=shared):
+                m, known = shared(), Hashes()
+                for batch in batches:
+                    f = [m.features([known[w] for w in words_of(x)]) for x in batch.column(0).to_pylist()]
+                    yield pa.RecordBatch.from_pydict({"y": batch.column(1), **{f"f{i}": pa.array([v[i] for v in f], pa.float64()) for i in range(1 + len(PASSAGES))}})
 
-        rows = texts.where(F.col("fold") == fold).select("text", "y").mapInArrow(value, "y int, " + ", ".join(f"f{i} double" for i in range(1 + len(PASSAGES))))
-        rows = matrix(rows)
+            rows = matrix(texts.where(F.col("fold") == fold).select("text", "y").mapInArrow(value, "y int, " + ", ".join(f"f{i} double" for i in range(1 + len(PASSAGES)))))
         marks.append(rows[:, 0])
         features.append(rows[:, 1:])
-    model = counts.model(total)
-    if features:
-        model.weights = logistic(np.concatenate(features), np.concatenate(marks))
-    return model
+    weights = logistic(np.concatenate(features), np.concatenate(marks)) if features else np.zeros(2 + len(PASSAGES))
+    return Scorer(counts.model(total), weights)
 
 
-def scored(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+def scored(docs: DataFrame, model: Scorer, least: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``. Only the
     text is an input of the score; null texts are empty and score what a text without
     words does; a null doc_id counts as not held out. Repeated rows are scored alike, texts
@@ -303,7 +342,7 @@ def scored(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+def without_toxic(docs: DataFrame, model: Scorer, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below ``least``, in one pass; null and empty
     texts score what a text without words does, other columns pass through whatever their names."""
     shared = shipped(docs.sparkSession, model)

@@ -583,12 +583,15 @@ def test_kneser_ney_against_brute_force(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i, _, _ in texts] + [(1, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
     corpus = [*texts, (900, "words that no label has", "s"), (901, None, "s"), (902, "ta", "s")]
     docs = rows_of(spark, corpus)
-    model = toxicity.train(docs, labels)
-    out = {r.doc_id: r.held_out for r in toxicity.scored(docs, model).collect()}
+    _, sizes, counts = toxicity.counted(docs, labels, toxicity.SAMPLE)
+    model = counts.model(tuple(sizes.sum(1)))
+    out = {r.doc_id: r.held_out for r in toxicity.scored(docs, toxicity.train(docs, labels)).collect()}
     pair, known, held = brute_kneser_ney([(t, i % 2) for i, t, _ in texts if not out[i]], [t for _, t, _ in corpus])
     for text in (texts[0][1], texts[7][1], "words that GLORP never kata seen"):
         words = re.findall(r"\w+", text.lower())
-        got = model.probabilities([toxicity.word_hash(w) for w in words])
+        hashes = [toxicity.word_hash(w) for w in words]
+        got = model.probabilities(hashes)
+        assert model.scorer().ratios(hashes) == pytest.approx(np.log(got[1] / got[0]), abs=1e-5)
         for k, (v, w) in enumerate(zip(["<start>", *words], words)):
             for y in (0, 1):  # a word that the sample lacks has the share of one that no document holds
                 assert got[y, k] == pytest.approx(pair(v, w if w in known else "<none>", y), rel=1e-9)

@@ -153,10 +153,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     digest, check, copy, size, words, shard, position, task, own_id = new = unused(docs, *[f"_mix_{n}" for n in names])
     rows = mix(docs, **options).where("words > 0").select(*[F.col(n).alias(x) for n, x in zip(names, new, strict=True)])
     own, own_check, own_copy = unused(docs, "_own_digest", "_own_check", "_own_copy")
-    keyed = docs.withColumns(dict(zip((own, own_check), identity(), strict=True)))
+    # one shuffle of the texts, by the first hash, serves the numbering and the join: the rest of
+    # the identity is compared in a form that is no join key
+    keyed = docs.withColumns(dict(zip((own, own_check), identity(), strict=True))).repartition(own)
     keyed = keyed.withColumn(own_copy, F.row_number().over(W.partitionBy(own, own_check, "doc_id").orderBy(own)))
-    on = (F.col(own) == F.col(digest)) & (F.col(own_check) == F.col(check)) & F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(own_copy) == F.col(copy))
-    whole = keyed.join(rows, on)
+    same = lambda a, b: F.coalesce(F.col(a).cast("long"), F.lit(0)).bitwiseXOR(F.coalesce(F.col(b).cast("long"), F.lit(0))) == 0
+    whole = keyed.join(rows, (F.col(own) == F.col(digest)) & same(own_check, check) & same("doc_id", own_id) & same(own_copy, copy))
     cut = F.col(words) < F.col(size)
     leading = F.array_join(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col(words).cast("int")), "")
     out = whole.withColumn("text", F.when(cut, leading).otherwise(F.col("text")))

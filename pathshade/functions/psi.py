@@ -41,6 +41,11 @@ class Psi:
     def bounded(self) -> bool:
         return math.isfinite(self.bound)
 
+    @property
+    def monotone(self) -> bool:
+        """All members of the family are, and none is negative."""
+        return True
+
     def __str__(self) -> str:
         return self.kind if self.kind == "log1p" else f"{self.kind}:{self.p:g}"
 

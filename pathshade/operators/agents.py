@@ -11,8 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import Window as W
 
+from pathshade.functions.order import running
 from pathshade.functions.uniforms import normal, uniform
 from pathshade.sources.grid import col_of, manhattan, row_of
 
@@ -45,10 +45,21 @@ class OD:
             raise ValueError("gravity needs beta >= 0")
 
 
+# Fixed names that a distribution goes by, in any case.
+OD_NAMES = {"": "uniform", "uniformwithdistband": "band", "gaussianaroundstart": "gaussian", "hotspots": "hotspot", "hotspotmixture": "hotspot"}
+
+
+def parse_od(name: str) -> str:
+    kind = name.strip().lower()
+    kind = OD_NAMES.get(kind, kind)
+    if kind not in ("uniform", "band", "gaussian", "hotspot", "gravity"):
+        raise ValueError(f"unknown distribution: {name!r}")
+    return kind
+
+
 def indexed(ids: DataFrame, column: str) -> DataFrame:
-    """(idx, node, total): distinct ids by value; the candidate set is numbered once."""
-    distinct = ids.select(F.col(column).alias("node")).distinct()
-    return distinct.select((F.row_number().over(W.orderBy("node")) - 1).cast("long").alias("idx"), "node")
+    """(idx, node): distinct ids, numbered by value."""
+    return running(ids.select(F.col(column).alias("node")).distinct(), "node", "idx").select("idx", "node")
 
 
 def hotspot_ranges(hotspots: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
@@ -57,8 +68,7 @@ def hotspot_ranges(hotspots: DataFrame, blocked: DataFrame | None = None) -> Dat
     good = hotspots.where("weight > 0 and node >= 0").groupBy("node").agg(F.sum("weight").alias("weight"))
     if blocked is not None:
         good = good.join(blocked.withColumnRenamed("v", "node"), "node", "left_anti")
-    high = F.sum("weight").over(W.orderBy("node").rowsBetween(W.unboundedPreceding, 0))
-    return good.select("node", (high - F.col("weight")).alias("low"), high.alias("high"))
+    return running(good, "node", "low", F.col("weight")).select("node", "low", (F.col("low") + F.col("weight")).alias("high"))
 
 
 def _pick(frame: DataFrame, walk: DataFrame, count: int, out: str, draw: Column) -> DataFrame:
@@ -66,10 +76,10 @@ def _pick(frame: DataFrame, walk: DataFrame, count: int, out: str, draw: Column)
     return frame.withColumn("_i", F.floor(draw * count)).join(walk.select(F.col("idx").alias("_i"), F.col("node").alias(out)), "_i").drop("_i")
 
 
-def _hot(frame: DataFrame, ranges: DataFrame, total: float, out: str, draw: Column) -> DataFrame:
-    """Add column ``out`` by inverse CDF: the equi-join on a coarse cell of the
-    cumulative weight keeps the range condition local."""
-    cells = 64
+def _hot(frame: DataFrame, ranges: DataFrame, total: float, cells: int, out: str, draw: Column) -> DataFrame:
+    """Add column ``out`` by inverse CDF: the equi-join on a cell of the cumulative
+    weight keeps the range condition local. There are as many cells as ranges, so a cell
+    holds a range or two, on average."""
     cell = lambda c: F.least(F.floor(c * cells / total), F.lit(cells - 1))
     wide = ranges.withColumn("_cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
     drawn = frame.withColumn("_r", draw * total).withColumn("_cell", cell(F.col("_r")))
@@ -85,8 +95,10 @@ def sample_od(attempts: DataFrame, walkable: DataFrame, od: OD, seed: int = 1, t
     u = lambda role: uniform(seed, F.col("attempt"), F.col("try"), role)
     if od.kind == "hotspot":
         ranges = hotspot_ranges(hotspots, blocked)
-        total = ranges.agg(F.max("high")).first()[0]
-        pairs = _hot(_hot(rows, ranges, float(total), "s", u("s")), ranges, float(total), "t", u("t"))
+        total, cells = ranges.agg(F.max("high"), F.count(F.lit(1))).first()
+        if not cells:
+            raise ValueError("no hotspot is left that is not blocked")
+        pairs = _hot(_hot(rows, ranges, float(total), cells, "s", u("s")), ranges, float(total), cells, "t", u("t"))
     else:
         pairs = _pick(rows, walk, count, "s", u("s"))
         if od.kind == "gaussian":
@@ -112,5 +124,4 @@ def sample_od(attempts: DataFrame, walkable: DataFrame, od: OD, seed: int = 1, t
 
 def first_agents(sampled: DataFrame, m: int) -> DataFrame:
     """agents(agent, s, t): the first m attempts that gave a pair, renumbered."""
-    kept = sampled.orderBy("attempt").limit(m)
-    return kept.select((F.row_number().over(W.orderBy("attempt")) - 1).cast("long").alias("agent"), "s", "t")
+    return running(sampled.orderBy("attempt").limit(m), "attempt", "agent").select("agent", "s", "t")

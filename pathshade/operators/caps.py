@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from pathshade.functions.psi import Psi
+from pathshade.session import written
 
 
 def resolve(mode: str, psi: Psi, topk: int, budget: int) -> tuple[str, int]:
@@ -30,15 +31,39 @@ def node_global(weights: DataFrame) -> DataFrame:
     return weights.groupBy("v").agg(F.sum("w").alias("m"))
 
 
-def caps(mode: str, paths: DataFrame, path_nodes: DataFrame, weights: DataFrame, psi: Psi, k: int) -> DataFrame:
+#: Node sums by application and key, as written tables.
+_node_sums: dict[tuple[str, str], DataFrame] = {}
+
+
+def node_sums(mode: str, weights: DataFrame, k: int, key: str | None = None) -> DataFrame:
+    """(v, m) of the k largest or of all weights. With a key, which must say all that
+    they depend on, they are computed once for an application."""
+    make = lambda: node_topk(weights, k) if mode == "topk" else node_global(weights)
+    if key is None:
+        return make()
+    at = (weights.sparkSession.sparkContext.applicationId, key)
+    if at not in _node_sums:
+        _node_sums[at] = written(make(), "node-sums")
+    return _node_sums[at]
+
+
+def forget_node_sums() -> None:
+    """To be called where scratch tables are deleted."""
+    _node_sums.clear()
+
+
+def caps(mode: str, paths: DataFrame, path_nodes: DataFrame, weights: DataFrame, psi: Psi, k: int, key: str | None = None) -> DataFrame:
     """caps(agent, cap): psi(k) (longest + 1), or the best path's sum of psi of
     the largest reachable weights."""
     if mode == "pathlen":
         return paths.groupBy("agent").agg((F.lit(psi.value(float(k))) * (F.max("len") + 1)).alias("cap"))
-    most = node_topk(weights, k) if mode == "topk" else node_global(weights)
-    sums = path_nodes.join(most, "v").groupBy("agent", "path").agg(F.sum(psi(F.col("m"))).alias("x"))
+    sums = path_nodes.join(node_sums(mode, weights, k, key), "v").groupBy("agent", "path").agg(F.sum(psi(F.col("m"))).alias("x"))
     return paths.join(sums, ["agent", "path"], "left").groupBy("agent").agg(F.max(F.coalesce("x", F.lit(0.0))).alias("cap"))
 
 
+def total(caps_: DataFrame) -> DataFrame:
+    return caps_.agg(F.coalesce(F.sum("cap"), F.lit(0.0)).alias("total_cap"))
+
+
 def cap_summary(caps_: DataFrame) -> DataFrame:
     return caps_.agg(F.min("cap").alias("cap_min"), F.median("cap").alias("cap_median"), F.max("cap").alias("cap_max"))

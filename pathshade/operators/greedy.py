@@ -1,5 +1,6 @@
 """Greedy selection and baselines. A round is one distributed aggregation and one
-collected row; ties go to the earlier candidate, so gains are rounded first."""
+collected row. Ties go to the earlier candidate, so gains are compared rounded, but a
+gain stops the search only if it is none: LEAST is what sums of doubles leave of one."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pathshade.functions.psi import Psi
 from pathshade.functions.uniforms import uniform
 from pathshade.operators.objectives import Linear
 
-DIGITS = 6
+DIGITS, LEAST = 6, 1e-12
 
 
 def greedy(objective, k: int, times: list[float] | None = None) -> list[tuple[int, float]]:
@@ -21,21 +22,22 @@ def greedy(objective, k: int, times: list[float] | None = None) -> list[tuple[in
     for _ in range(k):
         began = time.perf_counter()
         taken = [u for u, _ in picked]
-        rows = objective.gains(taken).where(~F.col("u").isin(taken) if taken else F.lit(True))
-        best = rows.agg(F.max(F.struct(F.round("gain", DIGITS).alias("gain"), (-F.col("cpos")).alias("first"), "u")).alias("b")).first().b
+        rows = objective.gains(taken).where(~F.col("u").isin(taken) if taken else F.lit(True)).where(F.col("gain") > LEAST)
+        near = F.round("gain", DIGITS)
+        best = rows.agg(F.max(F.struct(F.when(near > 0, near).otherwise(F.col("gain")).alias("gain"), (-F.col("cpos")).alias("first"), "u")).alias("b")).first().b
         if times is not None:
             times.append(time.perf_counter() - began)
-        if best is None or best.gain <= 0:
+        if best is None:
             break
         picked.append((best.u, best.gain))
     return picked
 
 
 def lazy_greedy(objective, k: int, batch: int = 8) -> list[tuple[int, float]]:
-    """Greedy over stale gains kept by the driver: the best ``batch`` are
-    evaluated again each round. Exact for submodular objectives only; stops at
-    gains below 1e-12."""
-    stale = {r.u: (r.gain, r.cpos) for r in objective.gains([]).collect()}  # a row per candidate
+    """Greedy over stale gains kept by the driver (a row per candidate): the best
+    ``batch`` are evaluated again until the best is fresh. Exact for submodular objectives; a
+    heuristic for the original one. Stops at gains below LEAST."""
+    stale = {r.u: (r.gain, r.cpos) for r in objective.gains([]).collect()}
     picked: list[tuple[int, float]] = []
     while len(picked) < k and stale:
         taken = [u for u, _ in picked]
@@ -49,7 +51,7 @@ def lazy_greedy(objective, k: int, batch: int = 8) -> list[tuple[int, float]]:
             stale |= {u: (seen.get(u, 0.0), stale[u][1]) for u in top}
             fresh |= set(top)
         best = order[0]
-        if stale[best][0] < 1e-12:
+        if stale[best][0] < LEAST:
             break
         picked.append((best, round(stale.pop(best)[0], DIGITS)))
     return picked

@@ -7,12 +7,15 @@ one join and one aggregation by candidate.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from pathshade.functions.psi import Psi
+from pathshade.session import written
 
 
 def state(weights: DataFrame, picked: Sequence[int]) -> DataFrame:
@@ -25,6 +28,16 @@ def gain(psi: Psi) -> Column:
     return psi(m + F.col("w")) - psi(m)
 
 
+#: A table of fewer rows is broadcast: weights of 40 bytes, 80 MB at most.
+BROADCAST_ROWS = 2_000_000
+
+
+def beside(weights: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How a table of at most as many rows as ``weights`` is joined: by broadcast if
+    they are few, else by shuffle."""
+    return F.broadcast if weights.count() <= BROADCAST_ROWS else lambda df: df
+
+
 @dataclass
 class Linear:
     """sum of c psi(m) - lambda const: certified unions, proxies and lower bounds
@@ -36,8 +49,9 @@ class Linear:
     lam: float = 0.0
     const: float = 0.0
 
-    def __post_init__(self):
-        self.near = self.weights.join(self.coef.where("c <> 0"), "v")
+    @cached_property
+    def near(self) -> DataFrame:
+        return written(self.weights.join(self.coef.where("c <> 0"), "v"), "near")
 
     def gains(self, picked: Sequence[int]) -> DataFrame:
         rows = self.near.join(state(self.weights, picked), "v", "left")
@@ -50,7 +64,10 @@ class Linear:
 
 @dataclass
 class Capped:
-    """sum over agents of min(cap, sum over its union of psi(m)) - lambda sum Lmin."""
+    """sum over agents of min(cap, sum over its union of psi(m)) - lambda sum Lmin.
+
+    The agents' nodes are dealt out by agent once a round, state and rises beside them;
+    what follows stays there until rows are summed by candidate."""
 
     weights: DataFrame
     nodes: DataFrame
@@ -59,12 +76,17 @@ class Capped:
     lam: float = 0.0
     const: float = 0.0
 
+    @cached_property
+    def beside(self) -> Callable[[DataFrame], DataFrame]:
+        return beside(self.weights)
+
     def current(self, picked: Sequence[int]) -> DataFrame:
-        return self.nodes.join(state(self.weights, picked), "v").groupBy("agent").agg(F.sum(self.psi(F.col("m"))).alias("cur"))
+        reached = self.nodes.repartition("agent").join(self.beside(state(self.weights, picked)), "v")
+        return reached.groupBy("agent").agg(F.sum(self.psi(F.col("m"))).alias("cur"))
 
     def gains(self, picked: Sequence[int]) -> DataFrame:
         delta = self.weights.join(state(self.weights, picked), "v", "left").select("u", "cpos", "v", gain(self.psi).alias("g")).where("g > 0")
-        own = delta.join(self.nodes, "v").groupBy("u", "cpos", "agent").agg(F.sum("g").alias("delta"))
+        own = self.nodes.repartition("agent").join(self.beside(delta), "v").groupBy("agent", "u", "cpos").agg(F.sum("g").alias("delta"))
         room = self.caps.join(self.current(picked), "agent", "left").select("agent", F.greatest(F.col("cap") - F.coalesce("cur", F.lit(0.0)), F.lit(0.0)).alias("room"))
         return own.join(room, "agent").groupBy("u", "cpos").agg(F.sum(F.least("room", "delta")).alias("gain"))
 
@@ -75,7 +97,10 @@ class Capped:
 
 @dataclass
 class Original:
-    """sum over agents of the best path's score: sum of psi(m) - lambda len."""
+    """sum over agents of the best path's score: sum of psi(m) - lambda len.
+
+    Path nodes are dealt out by agent once a round; scores, rises and the agent's best are
+    all found there, and only an agent's gain by candidate leaves its task, summed."""
 
     weights: DataFrame
     path_nodes: DataFrame
@@ -83,13 +108,23 @@ class Original:
     psi: Psi
     lam: float = 0.0
 
+    @cached_property
+    def beside(self) -> Callable[[DataFrame], DataFrame]:
+        return beside(self.weights)
+
+    def scored(self, picked: Sequence[int]) -> DataFrame:
+        """(agent, path, v, score): each path node with its path's score."""
+        nodes = self.path_nodes.select("agent", "path", "v").repartition("agent").join(self.beside(state(self.weights, picked)), "v", "left")
+        path = W.partitionBy("agent", "path")
+        score = F.sum(F.coalesce(self.psi(F.col("m")), F.lit(0.0))).over(path) - self.lam * (F.count(F.lit(1)).over(path) - 1)
+        return nodes.select("agent", "path", "v", score.alias("score"))
+
     def scores(self, picked: Sequence[int]) -> DataFrame:
         """(agent, path, score)."""
-        got = self.path_nodes.join(state(self.weights, picked), "v").groupBy("agent", "path").agg(F.sum(self.psi(F.col("m"))).alias("x"))
-        return self.paths.join(got, ["agent", "path"], "left").select("agent", "path", (F.coalesce("x", F.lit(0.0)) - self.lam * F.col("len")).alias("score"))
+        return self.scored(picked).groupBy("agent", "path").agg(F.max("score").alias("score"))
 
     def agent_values(self, picked: Sequence[int]) -> DataFrame:
-        return self.scores(picked).groupBy("agent").agg(F.max("score").alias("value"))
+        return self.scored(picked).groupBy("agent").agg(F.max("score").alias("value"))
 
     def value(self, picked: Sequence[int]) -> DataFrame:
         return self.agent_values(picked).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
@@ -98,11 +133,10 @@ class Original:
         """An agent gains what its best touched path rises above its best path;
         untouched paths do not change, so they need no rows of their own."""
         delta = self.weights.join(state(self.weights, picked), "v", "left").select("u", "cpos", "v", gain(self.psi).alias("g")).where("g > 0")
-        rise = delta.join(self.path_nodes.select("agent", "path", "v"), "v").groupBy("u", "cpos", "agent", "path").agg(F.sum("g").alias("delta"))
-        scores = self.scores(picked)
-        best = scores.groupBy("agent").agg(F.max("score").alias("best"))
-        above = rise.join(scores, ["agent", "path"]).groupBy("u", "cpos", "agent").agg(F.max(F.col("score") + F.col("delta")).alias("top"))
-        return above.join(best, "agent").groupBy("u", "cpos").agg(F.sum(F.greatest(F.col("top") - F.col("best"), F.lit(0.0))).alias("gain"))
+        nodes = self.scored(picked).withColumn("best", F.max("score").over(W.partitionBy("agent")))
+        rise = nodes.join(self.beside(delta), "v").groupBy("agent", "path", "u", "cpos").agg(F.sum("g").alias("delta"), F.max("score").alias("score"), F.max("best").alias("best"))
+        above = rise.groupBy("agent", "u", "cpos").agg(F.max(F.col("score") + F.col("delta")).alias("top"), F.max("best").alias("best"))
+        return above.groupBy("u", "cpos").agg(F.sum(F.greatest(F.col("top") - F.col("best"), F.lit(0.0))).alias("gain"))
 
 
 def mixture(paths: DataFrame, kind: str = "uniform") -> DataFrame:

@@ -19,6 +19,11 @@ def union_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("c"))
 
 
+def average_agents(coef: DataFrame, n: int) -> DataFrame:
+    """Agents whose union holds a node, on average over all n nodes."""
+    return coef.agg((F.coalesce(F.sum("c"), F.lit(0.0)) / F.lit(float(max(1, n)))).alias("avg_agents_per_node"))
+
+
 def corridor_stats(path_nodes: DataFrame, r: int) -> DataFrame:
     """(v, b_r, in_union, c_total): sum of min(r, visits) over agents, agents, visits
     of distinct paths. Two levels, both merged before the shuffle."""

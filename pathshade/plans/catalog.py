@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,12 +19,17 @@ from pathshade.operators import paths as pt
 from pathshade.operators import unions as un
 from pathshade.operators import weights as wt
 from pathshade.operators.evaluate import evaluate, evaluate_difference
+from pathshade.plans import caches as ch
 from pathshade.plans import inputs as i
-from pathshade.plans.oracles import ORACLES  # noqa: F401
+from pathshade.plans.metadata import value
+from pathshade.plans.methods import Context
+from pathshade.plans.methods import run as run_method
+from pathshade.plans.oracles import OPTIONS, ORACLES  # noqa: F401
+from pathshade.plans.sandwich import Config, Sample, sandwich
 from pathshade.session import new_path, written
 from pathshade.sources import text as tx
 from pathshade.sources.bundle import read_bundle, write_bundle
-from pathshade.sources.grid import Grid, grid_edges, nodes
+from pathshade.sources.grid import Grid, col_of, grid_edges, nodes, row_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -64,9 +70,127 @@ def grid_edge_list(spark, sf):
     return tx.edge_lines(tx.canonical(grid_edges(spark, Grid(9, 7, diag=True, torus=True))))
 
 
+@query
+def grid_edges_cylinder(spark, sf):
+    return grid_edges(spark, Grid(5, 4, wrap_cols=True))
+
+
 # text sources and sinks
 
 
+def _file(spark, lines: DataFrame) -> DataFrame:
+    """Lines written to a text file and read back."""
+    path = new_path(spark, "lines")
+    tx.write_lines(lines, path)
+    return spark.read.text(path)
+
+
+@query
+def edge_file(spark, sf):
+    return _file(spark, tx.edge_lines(i.sparse(spark, sf)))
+
+
+@query
+def candidate_file(spark, sf):
+    return _file(spark, tx.id_lines(QUERIES["candidate_dedup"](spark, sf), "u"))
+
+
+@query
+def obstacle_file(spark, sf):
+    """Blocked nodes as ids, and as cells."""
+    shut = i.blocked(spark, sf)
+    out = [_file(spark, lines).select(F.lit(kind).alias("kind"), "value") for kind, lines in (("id", tx.id_lines(shut, "v")), ("cell", tx.coordinate_lines(shut, 16)))]
+    return out[0].unionByName(out[1])
+
+
+@query
+def obstacle_ids(spark, sf):
+    s = i.table(spark, sf, "supplier").select((F.col("s_suppkey") % 90).cast("string").alias("value"))
+    path = new_path(spark, "blocked")
+    tx.write_lines(s, path)
+    return tx.load_blocked(spark, path, 64)
+
+
+@query
+def blocked_metadata(spark, sf):
+    folder, n = new_path(spark, "blocked"), i.table(spark, sf, "supplier").count()
+    tx.write_bytes(spark, f"{folder}/blocked_meta.json", json.dumps({"blocked_source": "survey", "blocked_seed": n, "blocked_fraction": n / 256, "other": [1]}, indent=1).encode())
+    m = tx.blocked_metadata(spark, f"{folder}/blocked.txt")
+    return spark.createDataFrame([(m["blocked_source"], m["blocked_seed"], m["blocked_fraction"])], "blocked_source string, blocked_seed long, blocked_fraction double")
+
+
+@query
+def solution_file(spark, sf):
+    chosen = gd.greedy(Problem(spark, sf, i.LOG, soft=True).certified(), 3)
+    path = new_path(spark, "solution")
+    lines = tx.solution_lines([u for u, _ in chosen], sum(g for _, g in chosen), [g for _, g in chosen])
+    tx.write_bytes(spark, path, "\n".join(lines).encode())
+    return spark.createDataFrame(list(enumerate(tx.read_text(spark, path).split("\n"))), "ord long, value string")
+
+
+@query
+def weights_cache(spark, sf):
+    """Weights saved with what they depend on, refused for another kernel, loaded."""
+    path, c = new_path(spark, "weights"), i.candidates(spark)
+    given = {k: ch.weights_parameters(i.GRID.n, k, c) for k in (str(i.SOFT), "hard:2")}
+    ch.save(i.soft(spark), path, **given[str(i.SOFT)])
+    try:
+        return ch.load(spark, path, **given["hard:2"]).limit(0)
+    except ch.Stale:
+        return rounded(ch.load(spark, path, **given[str(i.SOFT)]), "w")
+
+
+@query
+def corridor_cache(spark, sf):
+    path = new_path(spark, "corridor")
+    make = lambda: un.corridor_stats(i.path_nodes(spark, sf), 2)
+    ch.load_or_make(spark, path, make, n=i.GRID.n, r=2)
+    return ch.load(spark, path, n=i.GRID.n, r=2)
+
+
+def _fingerprint(spark, df: DataFrame, *columns: str) -> DataFrame:
+    return spark.createDataFrame([(ch.fingerprint(df, *columns),)], "fingerprint string")
+
+
+@query
+def weights_fingerprint(spark, sf):
+    return _fingerprint(spark, i.soft(spark), "u", "v", "w")
+
+
+@query
+def edges_fingerprint(spark, sf):
+    return _fingerprint(spark, i.sparse(spark, sf), "u", "v")
+
+
+@query
+def path_fingerprints(spark, sf):
+    drawn = pt.lattice_arrays(i.agents(spark, sf), i.GRID.cols, i.DRAWS, i.SEED).select("agent", F.posexplode("drawn").alias("path", "nodes"))
+    return drawn.select("agent", F.col("path").cast("long").alias("path"), F.md5(F.array_join(F.transform("nodes", lambda x: x.cast("string")), " ")).alias("fingerprint"))
+
+
+@query
+def lattice_log_counts(spark, sf):
+    a = i.agents(spark, sf)
+    down, across = (F.abs(f(F.col("t"), 16) - f(F.col("s"), 16)) for f in (row_of, col_of))
+    return a.select("agent", F.round(pt.log_choose(down + across, F.least(down, across)), 6).alias("log_paths"))
+
+
+@query
+def dataset_summary(spark, sf):
+    n = i.table(spark, sf, "customer").select(F.col("c_custkey").alias("v"))
+    g = gr.graph_summary(n, i.sparse(spark, sf), i.blocked(spark, sf)).first()
+    c = QUERIES["candidate_dedup"](spark, sf).count()
+    return spark.createDataFrame([(g.n, g.directed_edges // 2, c, g.n_blocked)], "nodes long, edges long, candidates long, blocked long")
+
+
+@query
+def option_values(spark, sf):
+    """How option values, data set keys and file places read."""
+    from pathshade.plans.options import read_back
+
+    return spark.createDataFrame([(kind, given, read_back(kind, given)) for kind, given, _ in OPTIONS], "kind string, given string, found string")
+
+
 @query
 def edge_text_scan(spark, sf):
     return i.sparse(spark, sf)
@@ -78,7 +202,8 @@ def edge_text_odd_lines(spark, sf):
     o = i.table(spark, sf, "orders")
     k = F.col("o_orderkey")
     line = F.when(k % 5 == 0, F.concat(F.lit("# "), k)).when(k % 5 == 1, k.cast("string")).when(k % 5 == 2, F.concat_ws(" ", k, F.lit("x"))).otherwise(F.concat(F.lit("  "), F.col("o_custkey"), F.lit("\t"), k, F.lit(" tail ")))
-    return tx.edges_of(o.select(line.alias("value")), n=10_000, undirected=False, one_based=True)
+    n = o.agg(F.max("o_orderkey")).first()[0]  # every id of the lines is below it, but for the last order's
+    return tx.edges_of(o.select(line.alias("value")), n=n, undirected=False, one_based=True)
 
 
 @query
@@ -94,8 +219,11 @@ def blocked_ids(spark, sf):
 
 @query
 def hotspot_parse(spark, sf):
-    c = i.table(spark, sf, "customer").where("c_acctbal > 0")
-    return tx.hotspots_of(c.select(F.concat_ws(" ", "c_custkey", "c_acctbal").alias("value")))
+    """Balances as weights, with comments and blank lines among them; those of 0 or less, which
+    are errors, lose their sign."""
+    c = i.table(spark, sf, "customer").select("c_custkey", (F.abs("c_acctbal") + 0.01).alias("w"))
+    line = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("# "), "c_custkey")).when(F.col("c_custkey") % 7 == 1, F.lit("  ")).otherwise(F.concat(F.lit(" "), "c_custkey", F.lit("\t"), "w"))
+    return tx.hotspots_of(c.select(line.alias("value")))
 
 
 @query
@@ -245,7 +373,7 @@ def lattice_paths(spark, sf):
 
 @query
 def k_distinct_paths(spark, sf):
-    return pt.distinct_paths(i.path_nodes(spark, sf, 5), 3)
+    return pt.exploded(pt.distinct_arrays(pt.lattice_arrays(i.agents(spark, sf), i.GRID.cols, 5, i.SEED), 3))
 
 
 def _dag(spark, sf):
@@ -350,7 +478,7 @@ def _greedy(kind: str, k: int):
 for _k in OBJECTIVES:
     _value(_k)
     _marginals(_k)
-    _greedy(_k, 2 if _k in ("original", "capped") else 5)
+    _greedy(_k, 5)
 
 
 @query
@@ -379,6 +507,13 @@ for _m, _q in (("pathlen", i.CLIP), ("topk", i.LOG), ("global", i.LOG)):
     _caps(_m, _q)
 
 
+@query
+def union_averages(spark, sf):
+    p = Problem(spark, sf, i.LOG, soft=True)
+    caps = cp.total(cp.caps("topk", p.paths, p.path_nodes, p.weights, i.LOG, 3)).first()[0]
+    return un.average_agents(un.union_counts(p.nodes), i.GRID.n).select("avg_agents_per_node", F.round(F.lit(caps), 4).alias("total_cap"))
+
+
 @query
 def cap_summary(spark, sf):
     return rounded(cp.cap_summary(QUERIES["caps_topk"](spark, sf)), "cap_min", "cap_median", "cap_max")
@@ -416,8 +551,8 @@ def softmax_mixture(spark, sf):
 
 @query
 def lb3_iterate(spark, sf):
-    chosen, value = lb3.iterate(Problem(spark, sf, i.LOG, soft=True).original(), list(i.PICKED), 3, 1.0, 2)
-    return spark.createDataFrame([(n + 1, u, round(value, 6)) for n, u in enumerate(chosen)], "round long, u long, value double")
+    out = lb3.iterate(Problem(spark, sf, i.LOG, soft=True).original(), list(i.PICKED), 3, 1.0, 2)
+    return spark.createDataFrame([(n + 1, u, round(out.value, 6)) for n, u in enumerate(out.picked)], "round long, u long, value double")
 
 
 @query
@@ -435,13 +570,33 @@ def sample_summary_by_segment(spark, sf):
     return rounded(summary(i.table(spark, sf, "customer"), "c_acctbal", 0.1, ["c_mktsegment"]), "mean", "var", "se", "ci_low", "ci_high")
 
 
+REPORTED = ("S_UB", "S_LB", "S_proxy", "S_pick", "picked", "F_UB", "F_LB", "certified_union_value", "capped_union_value", "certified_ub_value", "ub_objective_total_S_UB", "ub_objective_mean_S_UB", "ub_objective_mean_pick", "proxy_score")
+
+
 @query
 def sandwich_report(spark, sf):
-    from pathshade.plans.sandwich import Config, Sample, report_rows, sandwich
-
+    """What does not depend on the clock."""
     p = Problem(spark, sf, i.CLIP)
-    sample = Sample(p.path_nodes, p.paths)
-    return report_rows(spark, sandwich(spark, p.weights, sample, Config(k=3, lam=i.LAMBDA)))
+    out = sandwich(spark, p.weights, Sample(p.path_nodes, p.paths), Config(k=3, lam=i.LAMBDA))
+    return spark.createDataFrame([(k, value(out[k])) for k in REPORTED], "key string, value string")
+
+
+def _method(name: str, k: int):
+    def run(spark, sf):
+        p = Problem(spark, sf, i.LOG, soft=True)
+        c, w = i.candidates(spark), p.weights
+        if name == "bruteforce_ub":  # every twentieth node
+            c = spark.range(12).select((F.col("id") * 20).alias("u"), F.col("id").alias("cpos"))
+            w = written(w.drop("cpos").join(c, "u"), "few")
+        context = Context(spark, w, c, nodes(spark, i.GRID), Sample(p.path_nodes, p.paths), Config(k=k, psi=i.LOG, lam=i.LAMBDA), i.SEED, 16, 16)
+        out = run_method(name, context)
+        return spark.createDataFrame([(n, u, round(out["F_pick"], 6), round(out["certified_union_value"], 6)) for n, u in enumerate(out["S_pick"])], "pos long, u long, f_pick double, certified double")
+
+    QUERIES[f"method_{name}"] = run
+
+
+for _m, _n in (("random_k", 4), ("regular_spacing_grid", 4), ("static_com_greedy", 4), ("greedy_original_full", 2), ("bruteforce_ub", 2)):
+    _method(_m, _n)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -101,11 +101,11 @@ def best_caps(most: str, kind: str = "log1p") -> str:
     return f"SELECT agent, max(coalesce(x, 0)) AS cap FROM pl LEFT JOIN (SELECT agent, path, sum({psi('m', kind)}) AS x FROM pn JOIN ({most}) USING (v) GROUP BY agent, path) USING (agent, path) GROUP BY agent"
 
 
-def gains(kind: str, m: str) -> str:
+def gains(kind: str, m: str, co: str = "co", f=psi) -> str:
     """SELECT u, cpos, gain given the state CTE m(v, m)."""
-    g = f"({psi('coalesce(m, 0) + w')}) - ({psi('coalesce(m, 0)')})"
+    g = f"({f('coalesce(m, 0) + w')}) - ({f('coalesce(m, 0)')})"
     if kind in COEF:
-        return f"SELECT u, cpos, sum(c * ({g})) AS gain FROM w JOIN co USING (v) LEFT JOIN {m} USING (v) WHERE c <> 0 GROUP BY u, cpos"
+        return f"SELECT u, cpos, sum(c * ({g})) AS gain FROM w JOIN {co} USING (v) LEFT JOIN {m} USING (v) WHERE c <> 0 GROUP BY u, cpos"
     delta = f"SELECT u, cpos, v, {g} AS g FROM w LEFT JOIN {m} USING (v)"
     if kind == "capped":
         return f"""SELECT u, cpos, sum(least(room, delta)) AS gain FROM (SELECT u, cpos, agent, sum(g) AS delta FROM ({delta}) JOIN un USING (v) WHERE g > 0 GROUP BY u, cpos, agent)
@@ -116,8 +116,8 @@ FROM (SELECT u, cpos, agent, path, sum(g) AS delta FROM ({delta}) JOIN pn USING
 JOIN (SELECT agent, max(score) AS best FROM ({score}) GROUP BY agent) USING (agent) GROUP BY u, cpos"""
 
 
-def scores(m: str) -> str:
-    return f"SELECT agent, path, coalesce(x, 0) - {LAM} * len AS score FROM pl LEFT JOIN (SELECT agent, path, sum({psi('m')}) AS x FROM pn JOIN {m} USING (v) GROUP BY agent, path) USING (agent, path)"
+def scores(m: str, f=psi) -> str:
+    return f"SELECT agent, path, coalesce(x, 0) - {LAM} * len AS score FROM pl LEFT JOIN (SELECT agent, path, sum({f('m')}) AS x FROM pn JOIN {m} USING (v) GROUP BY agent, path) USING (agent, path)"
 
 
 def problem(kind: str) -> str:
@@ -146,13 +146,91 @@ def marginals(kind: str) -> str:
     return f"WITH {problem(kind)}, {state('m0', ids(PICKED[:2]))} SELECT u, cpos, round(gain, 4) AS gain FROM ({gains(kind, 'm0')})"
 
 
-def greedy(head: str, kind: str, k: int) -> str:
-    out = [head, "s0 AS (SELECT CAST(NULL AS BIGINT) AS u WHERE false)"]
+def greedy_rounds(kind: str, k: int, tag: str = "", co: str = "co", f=psi) -> list[str]:
+    """CTEs: b1 .. bk(round, u, gain) and s0 .. sk(u), their names tagged."""
+    out = [f"{tag}s0 AS (SELECT CAST(NULL AS BIGINT) AS u WHERE false)"]
     for n in range(1, k + 1):
-        out.append(state(f"m{n}", f"SELECT u FROM s{n - 1}"))
-        out.append(f"b{n} AS MATERIALIZED (SELECT CAST({n} AS BIGINT) AS round, u, round(gain, 6) AS gain FROM ({gains(kind, f'm{n}')}) WHERE u NOT IN (SELECT u FROM s{n - 1}) AND round(gain, 6) > 0 ORDER BY round(gain, 6) DESC, cpos LIMIT 1)")
-        out.append(f"s{n} AS MATERIALIZED (SELECT u FROM s{n - 1} UNION ALL SELECT u FROM b{n})")
-    return "WITH " + ",\n".join(out) + " " + " UNION ALL ".join(f"SELECT * FROM b{n}" for n in range(1, k + 1))
+        out.append(state(f"{tag}m{n}", f"SELECT u FROM {tag}s{n - 1}"))
+        out.append(f"{tag}b{n} AS MATERIALIZED (SELECT CAST({n} AS BIGINT) AS round, u, round(gain, 6) AS gain FROM ({gains(kind, f'{tag}m{n}', co, f)}) WHERE u NOT IN (SELECT u FROM {tag}s{n - 1}) AND round(gain, 6) > 0 ORDER BY round(gain, 6) DESC, cpos LIMIT 1)")
+        out.append(f"{tag}s{n} AS MATERIALIZED (SELECT u FROM {tag}s{n - 1} UNION ALL SELECT u FROM {tag}b{n})")
+    return out
+
+
+def rounds(k: int, tag: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT * FROM {tag}b{n}" for n in range(1, k + 1))
+
+
+def greedy(head: str, kind: str, k: int) -> str:
+    return "WITH " + ",\n".join([head, *greedy_rounds(kind, k)]) + " " + rounds(k)
+
+
+def total(m: str, f=psi) -> str:
+    """The original objective's value at a state."""
+    return f"(SELECT sum(b) FROM (SELECT max(score) AS b FROM ({scores(m, f)}) GROUP BY agent))"
+
+
+def linear(co: str, m: str, const: str, f=psi) -> str:
+    return f"((SELECT coalesce(sum(c * ({f('m')})), 0) FROM {co} JOIN {m} USING (v)) - {LAM} * {const})"
+
+
+def lb3(k: int) -> str:
+    """Two rounds from PICKED; the better stands, the first where the values have settled."""
+    out = [lattice(), f"w AS MATERIALIZED ({SOFT})", state("z0", ids(PICKED))]
+    for n in (1, 2):
+        out.append(f"sc{n} AS MATERIALIZED ({scores(f'z{n - 1}')})")
+        out.append(f"al{n} AS MATERIALIZED (SELECT agent, path, exp(score - top) / sum(exp(score - top)) OVER (PARTITION BY agent) AS alpha FROM (SELECT *, max(score) OVER (PARTITION BY agent) AS top FROM sc{n}))")
+        out.append(f"co{n} AS MATERIALIZED (SELECT v, sum(alpha) AS c FROM pn JOIN al{n} USING (agent, path) GROUP BY v)")
+        out += greedy_rounds("certified", k, f"r{n}", f"co{n}")
+        out.append(state(f"z{n}", f"SELECT u FROM r{n}s{k}"))
+    out.append(f"f AS MATERIALIZED (SELECT {total('z0')} AS f0, {total('z1')} AS f1, {total('z2')} AS f2)")
+    later = "(f2 > f1 AND abs(f1 - f0) >= 1e-6)"
+    return "WITH " + ",\n".join(out) + f" SELECT round, u, round(f1, 6) AS value FROM ({rounds(k, 'r1')}), f WHERE NOT {later} UNION ALL SELECT round, u, round(f2, 6) AS value FROM ({rounds(k, 'r2')}), f WHERE {later}"
+
+
+def clip(t: str) -> str:
+    return psi(t, "clip", 1)
+
+
+def sandwich(k: int) -> str:
+    """(key, value) of the deterministic results under the certified union."""
+    out = [lattice(), f"w AS MATERIALIZED ({HARD})"]
+    for name, kind in (("ub", "certified"), ("lb", "lb1"), ("px", "proxy")):
+        out += [f"{name}co AS MATERIALIZED ({COEF[kind][0]})", *greedy_rounds(kind, k, name, f"{name}co", clip), state(f"{name}z", f"SELECT u FROM {name}s{k}")]
+        out.append(f"{name}list AS MATERIALIZED (SELECT string_agg(u, ' ' ORDER BY round) AS s FROM ({rounds(k, name)}))")
+    out.append(f"f AS MATERIALIZED (SELECT {total('ubz', clip)} AS fu, {total('lbz', clip)} AS fl, {linear('ubco', 'ubz', COEF['certified'][1], clip)} AS cu, {linear('ubco', 'lbz', COEF['certified'][1], clip)} AS cl, {linear('pxco', 'pxz', COEF['proxy'][1], clip)} AS px, (SELECT count(DISTINCT agent) FROM pl) AS n)")
+    up = "fu >= fl"
+    six = lambda x: f"printf('%.6f', {x})"
+    bound = f"CASE WHEN {up} THEN cu ELSE cl END"
+    rows = [("S_UB", "(SELECT s FROM ublist)"), ("S_LB", "(SELECT s FROM lblist)"), ("S_proxy", "(SELECT s FROM pxlist)"), ("S_pick", f"CASE WHEN {up} THEN (SELECT s FROM ublist) ELSE (SELECT s FROM lblist) END"), ("picked", f"CASE WHEN {up} THEN 'UB' ELSE 'LB' END"), ("F_UB", six("fu")), ("F_LB", six("fl"))]
+    rows += [(n, six(bound)) for n in ("certified_union_value", "capped_union_value", "certified_ub_value")]
+    rows += [("ub_objective_total_S_UB", six("cu")), ("ub_objective_mean_S_UB", six("cu / n")), ("ub_objective_mean_pick", six(f"({bound}) / n")), ("proxy_score", six("px"))]
+    return "WITH " + ",\n".join(out) + " " + " UNION ALL ".join(f"SELECT '{key}' AS key, {value_} AS value FROM f" for key, value_ in rows)
+
+
+def method(chosen: str, more: str = "") -> str:
+    """(pos, u, f_pick, certified) of a baseline's picks; chosen: SELECT pos, u."""
+    head = [lattice(), f"w AS MATERIALIZED ({SOFT})", f"co AS MATERIALIZED ({COEF['certified'][0]})", *([more] if more else []), f"pk AS MATERIALIZED ({chosen})", state("z", "SELECT u FROM pk")]
+    return "WITH " + ",\n".join(head) + f" SELECT pos, u, round({total('z')}, 6) AS f_pick, round({linear('co', 'z', COEF['certified'][1])}, 6) AS certified FROM pk"
+
+
+def print_of(columns: str, rows: str) -> str:
+    return f"SELECT printf('%x', CAST(coalesce(sum(CAST(CAST('0x' || substr(md5(concat_ws(':', {columns})), 1, 12) AS BIGINT) AS HUGEINT)), 0) % 1152921504606846976 AS BIGINT)) AS fingerprint FROM ({rows})"
+
+
+def values(rows) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + ")"
+
+
+# What option values, data set keys and places read as, worked out by hand.
+OPTIONS = [
+    ("cap", "auto clip:1 0 5", "pathlen 5"), ("cap", "auto log1p 0 5", "topk 5"), ("cap", "pathlen power:0.5 3 5", "topk 3"), ("cap", "global clip:2 0 5", "global 5"),
+    ("fnv", "a", "af63dc4c8601ec8c"), ("grid", "rows=3, cols=4,diag=1", "3 4 true false"), ("hotspots", "0:3, 7:1", "0 3.000000 7 1.000000"), ("kernel", "exp:0.5:3:0.01", "0.500000 3 0.010000"), ("kernel", "gauss:1", "1.000000 3 0.000100"),
+    ("kernel", "gauss:0.5", "4.000000 2 0.000100"), ("od", " UniformWithDistBand", "band"), ("od", "Hotspots", "hotspot"), ("pairs", "K=5, seed=7", "k=5 seed=7"), ("path", "0 1 2", "a940e14f3a8f72be"), ("psi", "CLIP:1.5", "clip:1.5 1.500000 true"),
+    ("psi", "expsat:2", "expsat:2 1.000000 true"), ("psi", "log1p", "log1p inf true"), ("key", "dataset_key=my city-2", "MY_CITY_2 dataset_key"), ("key", "edges=data/rome/Edges.txt", "ROME edges"), ("key", "edges=data/rome/old town.txt", "OLD_TOWN edges"), ("key", "graph_bin_in=x/lyon.v2.bin;edges=a/b.txt", "LYONV2 graph_bin_in"),
+    ("key", "edges=graph.txt", "DATASET edges"), ("key", "", "DATASET fallback"), ("od_json", "band 4 12", '{"band":[4,12]}'), ("od_json", "gaussian 1.5", '{"sigma":1.500000}'), ("od_json", "gravity 0.3", '{"beta":0.300000}'), ("od_json", "uniform", "{}"),
+    ("place", "edges=data/rome/edges.txt;out_dir=data", "edges=data/datasets/ROME/edges.txt out_dir=data/experiments/ROME"), ("place", "graph_bin_out=lyon.bin;out_dir=out", "graph_bin_out=data/datasets/LYON/LYON.bin"),
+]
 
 
 def static(k: int) -> str:
@@ -196,6 +274,11 @@ def od(kind: str) -> str:
     return f"WITH {head}, pr AS (SELECT *, row_number() OVER (PARTITION BY attempt ORDER BY {rank}, s, t) AS k FROM ({pairs}) WHERE {good}) SELECT attempt, s, t, CAST(try AS BIGINT) AS try FROM pr WHERE k = 1"
 
 
+def lines_of(rows: str, column: str) -> str:
+    return f"SELECT CAST({column} AS VARCHAR) AS value FROM ({rows})"
+
+
+DEDUPED = "SELECT p_partkey * 7 % 601 AS u, min(p_partkey) AS line FROM part WHERE p_partkey * 7 % 601 < 500 GROUP BY 1"
 LAT = "WITH " + lattice()
 ORACLES: dict[str, str] = {
     "grid_edges_4": grid(16, 16),
@@ -203,10 +286,10 @@ ORACLES: dict[str, str] = {
     "grid_edges_torus": grid(9, 2, torus=True),
     "grid_edge_list": f"SELECT DISTINCT least(u, v) || ' ' || greatest(u, v) AS value FROM ({grid(9, 7, True, True)}) WHERE u <> v",
     "edge_text_scan": SPARSE,
-    "edge_text_odd_lines": "SELECT o_custkey - 1 AS u, o_orderkey - 1 AS v FROM orders WHERE o_orderkey % 5 > 2 AND o_custkey BETWEEN 1 AND 10000 AND o_orderkey BETWEEN 1 AND 10000",
+    "edge_text_odd_lines": "SELECT o_custkey - 1 AS u, o_orderkey - 1 AS v FROM orders WHERE o_orderkey % 5 > 2 AND o_custkey BETWEEN 1 AND (SELECT max(o_orderkey) FROM orders) AND o_orderkey >= 1",
     "candidate_dedup": "SELECT u, row_number() OVER (ORDER BY line, u) - 1 AS cpos FROM (SELECT p_partkey * 7 % 601 AS u, min(p_partkey) AS line FROM part WHERE p_partkey * 7 % 601 < 500 GROUP BY 1)",
     "blocked_ids": "SELECT DISTINCT s_suppkey % 64 - 1 AS v FROM supplier WHERE s_suppkey % 64 >= 1",
-    "hotspot_parse": "SELECT c_custkey AS node, c_acctbal AS weight FROM customer WHERE c_acctbal > 0",
+    "hotspot_parse": "SELECT c_custkey AS node, abs(c_acctbal) + CAST(0.01 AS DOUBLE) AS weight FROM customer WHERE c_custkey % 7 > 1",
     "obstacle_coordinates": "SELECT DISTINCT (r - 1) * 16 + c - 1 AS v FROM (SELECT s_suppkey % 19 AS r, s_suppkey * 5 % 17 AS c FROM supplier) WHERE r BETWEEN 1 AND 16 AND c BETWEEN 1 AND 16",
     "path_text_round_trip": f"{LAT} SELECT agent, path, pos, v FROM pn WHERE (agent, path) IN (SELECT (agent, path) FROM pl WHERE len >= 1)",
     "graph_bundle_round_trip": SPARSE,
@@ -238,8 +321,7 @@ ORACLES: dict[str, str] = {
     "corridor_scalars": f"{LAT} SELECT CAST(lsum_r AS BIGINT) AS lsum_r, CAST(lmin1 AS BIGINT) AS lmin1, CAST(lsum_all AS BIGINT) AS lsum_all FROM ({SCALARS})",
     **{f"{k}_value": value(k) for k in (*COEF, "original", "capped")},
     **{f"marginals_{k}": marginals(k) for k in (*COEF, "original", "capped")},
-    **{f"greedy_{k}": greedy(problem(k), k, 5) for k in COEF},
-    **{f"greedy_{k}": greedy(problem(k), k, 2) for k in ("original", "capped")},
+    **{f"greedy_{k}": greedy(problem(k), k, 5) for k in (*COEF, "original", "capped")},
     "lazy_greedy_certified": greedy(problem("certified"), "certified", 5),
     "static_greedy": static(4),
     "caps_pathlen": f"{LAT} SELECT agent, CAST(max(len) + 1 AS DOUBLE) AS cap FROM pl GROUP BY agent",
@@ -253,4 +335,30 @@ ORACLES: dict[str, str] = {
     "eval_stats": f"WITH {problem('original')}, {state('m0', ids(PICKED))} " + stats(f"SELECT max(score) AS value FROM ({scores('m0')}) GROUP BY agent"),
     "eval_diff_stats": f"WITH {problem('original')}, {state('m0', ids(PICKED))}, {state('m1', ids(OTHER))} " + stats(f"SELECT x - y AS value FROM (SELECT agent, max(score) AS x FROM ({scores('m0')}) GROUP BY agent) JOIN (SELECT agent, max(score) AS y FROM ({scores('m1')}) GROUP BY agent) USING (agent)"),
     "sample_summary_by_segment": stats("SELECT * FROM customer", "c_acctbal", 1.6448536269514715, "c_mktsegment"),
+    "grid_edges_cylinder": "SELECT v AS u, r * 4 + (c + 4) % 4 AS v FROM (SELECT range AS v, range // 4 + dr AS r, range % 4 + dc AS c FROM range(20), (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dr, dc)) WHERE r BETWEEN 0 AND 4",
+    "edge_file": f"SELECT u || ' ' || v AS value FROM ({SPARSE})",
+    "candidate_file": lines_of(DEDUPED, "u"),
+    "obstacle_file": f"SELECT 'id' AS kind, CAST(v AS VARCHAR) AS value FROM ({BLOCKED}) UNION ALL SELECT 'cell', (v // 16) || ' ' || (v % 16) FROM ({BLOCKED})",
+    "obstacle_ids": "SELECT DISTINCT s_suppkey % 90 AS v FROM supplier WHERE s_suppkey % 90 < 64",
+    "blocked_metadata": "SELECT 'survey' AS blocked_source, count(*) AS blocked_seed, count(*) / CAST(256 AS DOUBLE) AS blocked_fraction FROM supplier",
+    "solution_file": "WITH " + ",\n".join([problem("certified"), *greedy_rounds("certified", 3)]) + f" SELECT CAST(0 AS BIGINT) AS ord, '# value' AS value UNION ALL SELECT 1, printf('%.6f', sum(gain)) FROM ({rounds(3)}) UNION ALL SELECT 2, '# selected (NodeId)' UNION ALL SELECT 3, string_agg(u, ' ' ORDER BY round) FROM ({rounds(3)}) UNION ALL SELECT 4, '# gains_per_step' UNION ALL SELECT 5, string_agg(printf('%.6f', gain), ' ' ORDER BY round) FROM ({rounds(3)})",
+    "weights_cache": f"SELECT u, cpos, v, round(w, 6) AS w FROM ({SOFT})",
+    "corridor_cache": f"{LAT} SELECT v, CAST(sum(least(n, 2)) AS BIGINT) AS b_r, count(*) AS in_union, CAST(sum(n) AS BIGINT) AS c_total FROM ({STATS}) GROUP BY v",
+    "weights_fingerprint": print_of("u, v, CAST(round(w, 6) AS DECIMAL(30, 6))", SOFT),
+    "edges_fingerprint": print_of("u, v", SPARSE),
+    "path_fingerprints": f"{LAT} SELECT agent, path, md5(string_agg(v, ' ' ORDER BY pos)) AS fingerprint FROM pn GROUP BY agent, path",
+    "union_averages": f"{LAT}, w AS ({SOFT}) SELECT (SELECT sum(c) / 256 FROM ({COEF['certified'][0]})) AS avg_agents_per_node, round((SELECT sum(cap) FROM ({best_caps(TOPK)})), 4) AS total_cap",
+    "dataset_summary": f"SELECT (SELECT count(*) FROM customer) AS nodes, (SELECT count(*) FROM ({SPARSE})) // 2 AS edges, (SELECT count(*) FROM ({DEDUPED})) AS candidates, (SELECT count(*) FROM ({BLOCKED})) AS blocked",
+    "lattice_log_counts": f"SELECT agent, round(coalesce(list_sum(list_transform(range(1, least(r, c) + 1), lambda i: ln(CAST(r + c - least(r, c) + i AS DOUBLE)) - ln(CAST(i AS DOUBLE)))), 0), 6) AS log_paths FROM (SELECT agent, abs(t // 16 - s // 16) AS r, abs(t % 16 - s % 16) AS c FROM ({AGENTS}))",
+    "option_values": values(OPTIONS).replace("SELECT *", "SELECT col0 AS kind, col1 AS given, col2 AS found"),
+    "lb3_iterate": lb3(3),
+    "sandwich_report": sandwich(3),
+    "method_random_k": method(f"SELECT row_number() OVER (ORDER BY {uni(str(SEED), 'v')}, v) - 1 AS pos, v AS u FROM ({NODES}) QUALIFY pos < 4"),
+    "method_regular_spacing_grid": method(f"SELECT row_number() OVER (ORDER BY fill, v) - 1 AS pos, v AS u FROM (SELECT v, CASE WHEN v // 16 >= 4 AND v % 16 >= 4 AND (v // 16 - 4) % 8 = 0 AND (v % 16 - 4) % 8 = 0 THEN 0 ELSE 1 END AS fill FROM ({NODES})) QUALIFY pos < 4"),
+    "method_static_com_greedy": method(f"SELECT round - 1 AS pos, u FROM ({rounds(4, 'st')})", ",\n".join([f"one AS ({NODES.replace('range AS v', 'range AS v, CAST(1 AS DOUBLE) AS c')})", *greedy_rounds("certified", 4, "st", "one")])),
+    "method_greedy_original_full": method(f"SELECT round - 1 AS pos, u FROM ({rounds(2, 'gr')})", ",\n".join(greedy_rounds("original", 2, "gr"))),
+    "method_bruteforce_ub": method(
+        "SELECT unnest([0, 1]) AS pos, unnest([a, b]) * 20 AS u FROM (SELECT a, b FROM ss ORDER BY round(value, 6) DESC, a, b LIMIT 1)",
+        f"ce AS (SELECT range AS p FROM range(12)), ss AS MATERIALIZED (SELECT a, b, sum(c * ({psi('m')})) AS value FROM (SELECT a.p AS a, b.p AS b, w.v, sum(w.w) AS m FROM ce a JOIN ce b ON a.p < b.p JOIN w ON w.u IN (a.p * 20, b.p * 20) GROUP BY 1, 2, 3) JOIN co USING (v) GROUP BY a, b)",
+    ),
 }

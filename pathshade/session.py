@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +27,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, driver_memo
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees. Taken from ``spark.checkpoint.dir``; a
-    temporary folder is set only where the session names none (tests)."""
+    """The folder every executor sees. Taken from ``spark.checkpoint.dir``; where the
+    session names none, a temporary folder does in a single JVM, and is an error elsewhere."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor sees")
         path = tempfile.mkdtemp(prefix="pathshade-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir()
@@ -40,23 +45,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: Paths that ``written`` has made in this process, in order.
-made: list[str] = []
-
-
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Lists that ``scratch`` has open.
+_kept: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths that ``written`` makes while it is open, in order."""
+    mine: list[str] = []
+    _kept.append(mine)
+    try:
+        yield mine
+    finally:
+        _kept[:] = [x for x in _kept if x is not mine]
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it
     back. Lost executors cost a reread, not a recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    made.append(path)
+    for kept in _kept:
+        kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,8 @@ class Grid:
     cols: int
     diag: bool = False
     torus: bool = False
+    wrap_rows: bool = False
+    wrap_cols: bool = False
 
     @property
     def n(self) -> int:
@@ -54,12 +56,19 @@ def nodes(spark: SparkSession, grid: Grid) -> DataFrame:
 
 
 def grid_edges(spark: SparkSession, grid: Grid) -> DataFrame:
-    """edges(u, v), both directions, row-major ids. A torus of one or two rows or
-    columns has loops and parallel edges, as its neighbourhoods say."""
+    """edges(u, v), both directions, row-major ids. A torus wraps rows and columns,
+    wrap_rows and wrap_cols one of them. A torus of one or two rows or columns has loops
+    and parallel edges, as its neighbourhoods say."""
     steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in grid.offsets])
     at = nodes(spark, grid).select(F.col("v").alias("u"), F.explode(steps).alias("s"))
     r, c = row_of(F.col("u"), grid.cols) + F.col("s.dr"), col_of(F.col("u"), grid.cols) + F.col("s.dc")
-    if grid.torus:
-        return at.select("u", (F.pmod(r, F.lit(grid.rows)) * grid.cols + F.pmod(c, F.lit(grid.cols))).alias("v"))
-    inside = r.between(0, grid.rows - 1) & c.between(0, grid.cols - 1)
+    inside = F.lit(True)
+    if grid.torus or grid.wrap_rows:
+        r = F.pmod(r, F.lit(grid.rows))
+    else:
+        inside = inside & r.between(0, grid.rows - 1)
+    if grid.torus or grid.wrap_cols:
+        c = F.pmod(c, F.lit(grid.cols))
+    else:
+        inside = inside & c.between(0, grid.cols - 1)
     return at.where(inside).select("u", (r * grid.cols + c).alias("v"))

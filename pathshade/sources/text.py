@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql import Window as W
+
+from pathshade.functions.order import running
+from pathshade.functions.text import compact, fnv1a, joined
 
 
 def fields(line: str = "value") -> Column:
@@ -41,8 +45,8 @@ def numbered(lines: DataFrame) -> DataFrame:
 def ids_of(lines: DataFrame, n: int | None = None, one_based: bool = False, comment: str = "#", distinct: bool = True, order: str = "line") -> DataFrame:
     """candidates(u, cpos): one id per line, first occurrences, in file order.
 
-    ``lines`` has value and the column that orders it. Positions are dense over
-    the distinct ids, so the final window spans the candidate set, not the lines.
+    ``lines`` has value and the integer column that orders it. Positions are dense over
+    the ids that are kept.
     """
     shift = 1 if one_based else 0
     ids = content(lines, comment).select((F.get(fields(), F.lit(0)).try_cast("long") - shift).alias("u"), order).where("u >= 0")
@@ -50,11 +54,33 @@ def ids_of(lines: DataFrame, n: int | None = None, one_based: bool = False, comm
         ids = ids.where(F.col("u") < n)
     if distinct:
         ids = ids.groupBy("u").agg(F.min(order).alias(order))
-    return ids.select("u", (F.row_number().over(W.orderBy(order, "u")) - 1).cast("long").alias("cpos"))
+    return running(ids, order, "cpos", ties=("u",)).select("u", "cpos")
 
 
 def blocked_of(lines: DataFrame, n: int | None = None, one_based: bool = False) -> DataFrame:
-    return ids_of(lines.withColumn("line", F.lit(0)), n, one_based).select(F.col("u").alias("v")).distinct()
+    shift = 1 if one_based else 0
+    ids = content(lines).select((F.get(fields(), F.lit(0)).try_cast("long") - shift).alias("v")).where("v >= 0")
+    return (ids if n is None else ids.where(F.col("v") < n)).distinct()
+
+
+def load_blocked(spark: SparkSession, path: str, n: int, one_based: bool = False, allow_empty: bool = False) -> DataFrame:
+    """blocked(v) of a file; one without a valid id is an error unless allowed."""
+    out = blocked_of(read_lines(spark, path), n, one_based)
+    if not allow_empty and out.isEmpty():
+        raise ValueError(f"{path} holds no valid node id")
+    return out
+
+
+def blocked_metadata(spark: SparkSession, path: str) -> dict:
+    """blocked_source, blocked_seed and blocked_fraction of the blocked_meta.json beside
+    a file of blocked nodes, as far as it names them with values of their types."""
+    types = {"blocked_source": str, "blocked_seed": int, "blocked_fraction": (int, float)}
+    text = read_text(spark, f"{path.rstrip('/').rpartition('/')[0]}/blocked_meta.json")
+    try:
+        given = json.loads(text or "{}")
+    except json.JSONDecodeError:
+        return {}
+    return {k: given[k] for k, t in types.items() if isinstance(given.get(k), t) and not isinstance(given[k], bool)}
 
 
 def hotspots_of(lines: DataFrame) -> DataFrame:
@@ -65,6 +91,12 @@ def hotspots_of(lines: DataFrame) -> DataFrame:
     return part.select(F.when(bad, F.raise_error(F.lit("bad hotspot line")).cast("long")).otherwise(F.col("node")).alias("node"), "weight")
 
 
+def hotspots_hash(lines: DataFrame) -> str:
+    """Of the trimmed lines of a hotspot file, in their order."""
+    rows = content(lines).select(F.trim("value").alias("t"), "line").orderBy("line").toLocalIterator()
+    return f"{fnv1a(b for r in rows for b in (r.t + chr(10)).encode()):016x}"
+
+
 def parse_hotspots(spec: str) -> list[tuple[int, float]]:
     """``0:3,7:1``."""
     out = []
@@ -123,5 +155,34 @@ def path_lines(path_nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("agent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "p"))), lambda x: x["p"]), " | ").alias("value"))
 
 
+def solution_lines(picked: list[int], value: float, gains: list[float] | None = None) -> list[str]:
+    """A solution's file: its value, its ids and, if given, the gain of each step."""
+    out = ["# value", compact(value), "# selected (NodeId)", joined(picked)]
+    return out + (["# gains_per_step", " ".join(map(compact, gains))] if gains is not None else [])
+
+
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file on any file system that Spark writes; folders are made."""
+    system, target = _path(spark, path)
+    out = system.create(target, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file as text, or None without one."""
+    system, target = _path(spark, path)
+    if not system.exists(target):
+        return None
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]).decode()
+
+
 def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     lines.select("value").write.mode(mode).text(path)

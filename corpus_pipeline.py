@@ -1,14 +1,14 @@
 """The corpus pipeline: five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of ``docs``. ``run`` writes each stage's rows as Parquet to the
-shared folder and reads them again for the next one.
+return the columns of ``docs``, whatever these are besides doc_id, text and source. All take
+null values in any column, empty and very long texts, repeated rows and empty tables,
+as their operators say. ``run`` writes each stage's rows as Parquet to the shared folder,
+reads them again for the next one and deletes what the stage worked with.
 """
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from pathshade.llm import pieces
@@ -17,54 +17,37 @@ from pathshade.llm.near_duplicates import without_near_duplicates
 from pathshade.llm.queries import PIECE_MODEL
 from pathshade.llm.sentences import without_repeats
 from pathshade.llm.toxicity import train, without_toxic
-from pathshade.session import delete, made, written
-
-_spent: list[str] = []
-
-
-def tidy(stage):
-    """A stage is called once its predecessor's rows are written, so the
-    tables that the predecessor worked with are deleted first."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _spent:
-            delete(spark, _spent.pop())
-        before = len(made)
-        out = stage(spark, docs, sf_dir)
-        _spent.extend(made[before:])
-        return out
-
-    return run_stage
+from pathshade.session import delete, scratch, written
 
 
-@tidy
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more go."""
+    """Documents that score 0.3 or more go. Learns from the labelled rows that are not
+    held out; without both classes among them every document stays (or, if all
+    are toxic, none). Null and empty texts score what a text without words does."""
     return without_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-@tidy
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, and one row of those that
+    repeat it. Rows without an id, and different texts under one id, are told apart; of
+    null and empty texts one stays."""
     return without_near_duplicates(docs)
 
 
-@tidy
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sentences of later occurrences of repeated spans go."""
+    """Sentences of later occurrences of repeated spans go; every row stays, with
+    an empty text if nothing is left."""
     return without_repeats(docs)
 
 
-@tidy
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source weights ask for, in shuffled shards."""
+    """Documents as often as the source weights ask for, in shuffled shards. Null is a
+    source of its own; documents without words are left out."""
     return mixed_documents(docs)
 
 
-@tidy
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and score of each row."""
+    """doc_id, ids and score of each row; an empty text has no ids."""
     return pieces.encode(docs, PIECE_MODEL)
 
 
@@ -83,7 +66,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k}")
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch() as spent:
+            docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+        for path in spent[:-1]:  # the last one holds the stage's rows
+            delete(spark, path)
     return docs

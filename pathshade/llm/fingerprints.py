@@ -9,10 +9,11 @@ subtracting its vector (``combined``). The vector has three parts:
 * EXACT_LANES lanes modulo 2**EXACT_BITS: a hash of the whole paragraph under one
   seed each, 294 bits that decide equality;
 * one lane modulo 2**32: the number n of the paragraph's word pairs;
-* LANES sketch lanes modulo 2**16: each word pair is hashed to a vector of bits.
-  A lane of c set bits reads as 2c - n, a sum of random signs, so the normalised
-  inner product of two fingerprints estimates the likeness of the texts
-  (standard error about 1 / sqrt(LANES)).
+* LANES sketch lanes modulo 2**32: each of the paragraph's word pairs is hashed to
+  a vector of bits. A lane of c set bits reads as 2c - n, a sum of random signs, so the
+  normalised inner product of two fingerprints estimates the likeness of the texts
+  as multisets of word pairs (standard error about 1 / sqrt(LANES)). No text is long
+  enough for a lane to wrap.
 
 The bits of one hash are counted three at a time: lanes 21 bits apart share one
 long sum, which is split before 2**21 rows could carry into the next lane.
@@ -25,12 +26,12 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-EXACT_LANES, SEEDS, SHIFTS = 7, 3, 21
+EXACT_LANES, SEEDS, SHIFTS = 7, 4, 21
 EXACT_BITS = 42
 LANES = SEEDS * SHIFTS * 3
 SPREAD = (1 << 42) | (1 << 21) | 1
-ROWS_A_BUCKET = 4096
-BROADCAST_ROWS = 4_000_000
+#: Rows of a range of doc_id, on average, and the quantiles between which ranges are cut (squared).
+ROWS_A_BUCKET, CUTS = 4096, 16
 
 
 def fingerprint(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -54,15 +55,15 @@ def fingerprint(texts: DataFrame, keys: list[str], text: str = "text") -> DataFr
         *[F.sum(f"_e{j}").alias(f"_x{j}") for j in range(EXACT_LANES)],
         *[F.sum(F.shiftrightunsigned(f"_h{s}", b).bitwiseAND(SPREAD)).alias(f"_s{s}_{b}") for s in range(SEEDS) for b in range(SHIFTS)],
     )
-    lanes = [F.shiftrightunsigned(f"_s{s}_{b}", 21 * i).bitwiseAND((1 << 16) - 1) for s in range(SEEDS) for b in range(SHIFTS) for i in range(3)]
+    lanes = [F.shiftrightunsigned(f"_s{s}_{b}", 21 * i).bitwiseAND((1 << 21) - 1) for s in range(SEEDS) for b in range(SHIFTS) for i in range(3)]
     low, high = lanes[::2], lanes[1::2] + [F.lit(0).cast("long")] * (LANES % 2)
     chunks = packed.select(*keys, "_n", *[F.col(f"_x{j}").bitwiseAND((1 << EXACT_BITS) - 1).alias(f"_x{j}") for j in range(EXACT_LANES)], *[(a + F.shiftleft(b, 31)).alias(f"_p{i}") for i, (a, b) in enumerate(zip(low, high, strict=True))])
     sums = chunks.groupBy(*keys).agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in chunks.columns if c[:2] in ("_x", "_p")])
-    lane = lambda i: (F.shiftrightunsigned(f"_p{i // 2}", 31) if i % 2 else F.col(f"_p{i // 2}")).bitwiseAND((1 << 16) - 1)
+    lane = lambda i: (F.shiftrightunsigned(f"_p{i // 2}", 31) if i % 2 else F.col(f"_p{i // 2}")).bitwiseAND((1 << 31) - 1)
     return sums.select(
         *keys,
         F.array(*[F.col(f"_x{j}").bitwiseAND((1 << EXACT_BITS) - 1) for j in range(EXACT_LANES)]).alias("exact"),
-        F.col("_n").alias("n"),
+        F.pmod("_n", F.lit(1 << 32)).alias("n"),
         F.array(*[lane(i) for i in range(LANES)]).alias("lanes"),
     )
 
@@ -74,18 +75,18 @@ def combined(a: Column, b: Column, sign: int = 1) -> Column:
     return F.struct(
         F.zip_with(a["exact"], b["exact"], lambda x, y: mod(x, y, 1 << EXACT_BITS)).alias("exact"),
         mod(a["n"], b["n"], 1 << 32).alias("n"),
-        F.zip_with(a["lanes"], b["lanes"], lambda x, y: mod(x, y, 1 << 16)).alias("lanes"),
+        F.zip_with(a["lanes"], b["lanes"], lambda x, y: mod(x, y, 1 << 32)).alias("lanes"),
     )
 
 
 def as_hex(f: Column) -> Column:
     digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
-    return F.concat(F.array_join(F.transform(f["exact"], lambda x: digits(x, 11)), ""), digits(f["n"], 8), F.array_join(F.transform(f["lanes"], lambda x: digits(x, 4)), ""))
+    return F.concat(F.array_join(F.transform(f["exact"], lambda x: digits(x, 11)), ""), digits(f["n"], 8), F.array_join(F.transform(f["lanes"], lambda x: digits(x, 8)), ""))
 
 
 def signed(f: Column) -> Column:
-    """The lanes as sums of signs: 2c - n, read modulo 2**17 around 0."""
-    return F.transform(f["lanes"], lambda c: (F.pmod(c * 2 - f["n"] + 65536, F.lit(131072)) - 65536).cast("double"))
+    """The lanes as sums of signs: 2c - n, read modulo 2**33 around 0."""
+    return F.transform(f["lanes"], lambda c: (F.pmod(c * 2 - f["n"] + (1 << 32), F.lit(1 << 33)) - (1 << 32)).cast("double"))
 
 
 def likeness(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
@@ -95,31 +96,57 @@ def likeness(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.when((norm_a == 0) | (norm_b == 0), zero).otherwise(F.least(F.lit(1.0), F.greatest(zero, dot / F.sqrt(norm_a * norm_b))))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, rid, ghost, doc_id, text, next_text): each row and the text of
-    the next in descending doc_id, after the last the first.
+def ranges(docs: DataFrame) -> Column:
+    """The range (bucket) of a row of (doc_id, h, text): higher ones hold larger ids,
+    null ids have negative ones. Quantiles of doc_id cut the table, equal widths cut what
+    lies between two, so an outlying id does not matter; an id that several
+    quantiles share, and null, are cut by h, which orders the rows of one id."""
+    at = [i / CUTS**2 for i in range(CUTS**2 + 1)]
+    rows, nulls, found = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", at, 40 * CUTS**2)).first()
+    needed = lambda n: max(1, math.ceil(n / ROWS_A_BUCKET))
+    cut_by_h = lambda n: F.floor(F.col("h") * n / (1 << 31))
+    none = (-1 - cut_by_h(F.lit(needed(nulls)))) if nulls else F.lit(-1)
+    cuts = sorted({-(2**63), *(found or ())})
+    heavy = [(found or []).count(c) for c in cuts]  # a cut that several quantiles share
+    between = needed((rows - nulls) / CUTS**2)
+    points = [needed((rows - nulls) * n / CUTS**2) if n > 1 else 1 for n in heavy]
+    most = max(between, *points)
+    groups = [cuts[i : i + CUTS] for i in range(0, len(cuts), CUTS)]
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("doc_id")))
+    outer = below(longs([g[0] for g in groups]))
+    place = (outer - 1) * CUTS + below(F.element_at(F.array(*[longs(g) for g in groups]), outer))  # from 1
+    low, high = (F.element_at(longs(x), place) for x in (cuts, [*cuts[1:], 2**63 - 1]))
+    width = high.cast("double") - low.cast("double")
+    inside = F.floor((F.col("doc_id").cast("double") - low.cast("double")) / F.greatest(width, F.lit(1.0)) * between)
+    own = most + F.least(F.greatest(inside, F.lit(0)), F.lit(between - 1))
+    if max(heavy) > 1:
+        parts = F.element_at(longs(points), place)
+        own = F.when((F.col("doc_id") == low) & (parts > 1), parts - 1 - cut_by_h(parts)).otherwise(own)
+    return F.when(F.col("doc_id").isNull(), none).otherwise(place.cast("long") * (2 * most) + own).cast("long")
+
 
-    Repeated ids are ordered by text, null ids come last. Rows are dealt into
-    ranges of doc_id of ROWS_A_BUCKET rows on average; each range also gets a
-    ghost copy of the row that follows it, so no window spans the whole table.
-    Unevenly spread ids make larger ranges, which are sorted with spill.
+def with_next(docs: DataFrame) -> DataFrame:
+    """(bucket, rid, doc_id, text, next_text, last): each row and the text of
+    the next in descending doc_id, after the last the first; last marks a bucket's last
+    row, whose next one lies in another.
+
+    Repeated ids are ordered by a hash of the text, null ids come last. Rows are dealt
+    into ranges of doc_id of about ROWS_A_BUCKET rows, so no window spans the whole
+    table; the first row of each range is joined to the range before it. Texts are shuffled
+    once.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = max(1, math.ceil(((high or 0) - (low or 0) + 1) / max(1, math.ceil(rows / ROWS_A_BUCKET))))
-    bucket = F.coalesce(F.expr(f"cast((cast(doc_id as decimal(20)) - {low or 0}) div {width} as bigint)"), F.lit(-1).cast("long"))
-    placed = docs.withColumn("bucket", bucket)
-    order = W.orderBy(F.desc("bucket"))
-    tops = placed.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    first = tops.withColumn("before", F.lag("bucket").over(order)).withColumn("last", F.min("bucket").over(W.partitionBy()))
-    first = first.select(F.coalesce("before", "last").alias("to"), F.col("bucket").alias("from"), "top")
-    if rows <= BROADCAST_ROWS * ROWS_A_BUCKET:  # a row a bucket: under 100 MB
-        first = F.broadcast(first)
-    ghosts = placed.join(first, (placed["bucket"] == first["from"]) & placed["doc_id"].eqNullSafe(first["top"]))
-    ghosts = ghosts.groupBy("to").agg(F.min("text").alias("text")).select(F.col("to").alias("bucket"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("ghost"))
-    both = placed.select("bucket", "doc_id", "text", F.lit(0).alias("ghost")).unionByName(ghosts)
-    w = W.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
-    return both.select("bucket", F.row_number().over(w).alias("rid"), "ghost", "doc_id", "text", F.lead("text").over(w).alias("next_text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 33))
+    placed = docs.withColumn("bucket", ranges(docs))
+    w = W.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "h", "text")
+    rows = placed.select("bucket", "doc_id", "h", "text").withColumns({"rid": F.row_number().over(w), "next_text": F.lead("text").over(w), "first": F.lag("bucket").over(w).isNull()})
+    order = W.orderBy(F.desc("bucket"))  # a row a bucket
+    known = placed.select("bucket").distinct()
+    before = known.select("bucket", F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(W.partitionBy())).alias("to"))
+    heads = rows.where("first").select("bucket", "text").join(before, "bucket").select(F.col("to").alias("bucket"), F.col("text").alias("head"))
+    last = F.col("next_text").isNull()
+    return rows.join(heads, "bucket").select("bucket", "rid", "doc_id", "text", F.when(last, F.col("head")).otherwise(F.col("next_text")).alias("next_text"), last.alias("last"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -133,24 +160,15 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null texts are empty texts, an empty table gives no rows, other columns are
-    not looked at. One shuffle carries the texts; all that follows is partitioned
-    by the same ranges.
+    not looked at, whatever their names. Repeated rows are rows of their own. One shuffle
+    carries the texts; all that follows is partitioned by the same ranges.
     """
     rows = with_next(docs)
     changed = edited(F.col("text"), F.col("next_text"))
-    texts = rows.select(
-        "bucket",
-        "rid",
-        "doc_id",
-        F.explode(
-            F.when(F.col("ghost") == 1, F.array(F.struct(F.lit(2).alias("kind"), F.lit(0).alias("n_chars"), F.lit("").alias("sha"), F.col("text").alias("text")))).otherwise(
-                F.array(
-                    F.struct(F.lit(0).alias("kind"), F.char_length("text").alias("n_chars"), F.lit("").alias("sha"), F.col("text").alias("text")),
-                    F.struct(F.lit(1).alias("kind"), F.lit(0).alias("n_chars"), F.sha2(changed, 256).alias("sha"), changed.alias("text")),
-                )
-            )
-        ).alias("t"),
-    ).select("bucket", "rid", "doc_id", "t.kind", "t.n_chars", "t.sha", "t.text")
+    given = lambda kind, text, n_chars=F.lit(0), sha=F.lit(""): F.struct(F.lit(kind).alias("kind"), n_chars.alias("n_chars"), sha.alias("sha"), text.alias("text"))
+    own = [given(0, F.col("text"), F.char_length("text")), given(1, changed, sha=F.sha2(changed, 256))]
+    every = F.when(F.col("last"), F.array(*own, given(2, F.col("next_text")))).otherwise(F.array(*own))
+    texts = rows.select("bucket", "rid", "doc_id", F.explode(every).alias("t")).select("bucket", "rid", "doc_id", "t.kind", "t.n_chars", "t.sha", "t.text")
     prints = fingerprint(texts, ["bucket", "rid", "doc_id", "kind", "n_chars", "sha"])
     prints = prints.withColumn("f", F.struct("exact", "n", "lanes")).select("bucket", "rid", "doc_id", "kind", "n_chars", "sha", as_hex(F.col("f")).alias("hex"), signed(F.col("f")).alias("signs"))
     prints = prints.withColumn("norm", F.aggregate("signs", F.lit(0.0), lambda s, x: s + x * x))

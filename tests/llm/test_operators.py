@@ -369,16 +369,59 @@ def test_topk_of_huge_components(spark):
 # 6
 
 
+def brute_likeness(a, b, rows):
+    """Cosine of the signs that the sketch stands for, from one hash table of word pairs."""
+
+    def signs(text):
+        pairs = Counter()
+        for line in text.split("\n"):
+            words = re.split("[\x20\x09-\x0d]+", line)
+            pairs.update(zip(words, [*words[1:], ""]))
+        out = np.zeros(fingerprints.LANES)
+        for p, n in pairs.items():
+            out += n * rows[p]
+        return out
+
+    x, y = signs(a), signs(b)
+    norm = float(x @ x) * float(y @ y)
+    return 0.0 if not norm else min(1.0, max(0.0, float(x @ y) / math.sqrt(norm)))
+
+
+def sign_rows(spark, texts):
+    """The +1 and -1 of each word pair, lane by lane: bit b + 21 i of the pair's hash by seed."""
+    pairs = set()
+    for text in texts:
+        for line in text.split("\n"):
+            words = re.split("[\x20\x09-\x0d]+", line)
+            pairs.update(zip(words, [*words[1:], ""]))
+    df = spark.createDataFrame(sorted(pairs), "a string, b string").select("a", "b", *[F.xxhash64(F.lit(k), "a", "b").alias(f"h{k}") for k in range(fingerprints.SEEDS)])
+    bits = [(k, b + 21 * i) for k in range(fingerprints.SEEDS) for b in range(21) for i in range(3)]
+    return {(r.a, r.b): np.array([2 * (r[f"h{k}"] >> at & 1) - 1 for k, at in bits]) for r in df.collect()}
+
+
+def in_order(spark, texts):
+    """(doc_id, text) in descending order of doc_id, null last, then of a hash of the text."""
+    unique = sorted({t for _, t in texts})
+    h = {r.t: r.h for r in spark.createDataFrame([(t,) for t in unique], "t string").select("t", F.shiftrightunsigned(F.xxhash64("t"), 33).alias("h")).collect()}
+    return sorted(texts, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1]], r[1]))
+
+
+def check_fingerprints(spark, texts, rows):
+    order = in_order(spark, [(i, t or "") for i, t in texts])
+    edited = [t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2] for k, (_, t) in enumerate(order)]
+    signs = sign_rows(spark, [*(t for _, t in order), *edited])
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        near = [1.0 if t == x else brute_likeness(t, x, signs) for x in (edited[k], following)]
+        want[(i, len(t), hashlib.sha256(edited[k].encode()).hexdigest(), *(round(x, 6) + 0.0 for x in near))] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 6) + 0.0, round(r.near_next, 6) + 0.0) for r in rows) == want
+
+
 def test_fingerprints(spark, corpus, docs, empty, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS_A_BUCKET", 7)
     rows = fingerprints.fingerprint_edits(docs).collect()
-    order = sorted(((i, t or "") for i, t, _ in corpus), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    want = Counter()
-    for k, (i, t) in enumerate(order):
-        following, h = order[(k + 1) % len(order)][1], len(t) // 2
-        want[(i, len(t), hashlib.sha256((t[: len(t) - h] + following[:h]).encode()).hexdigest())] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in rows) == want
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+    check_fingerprints(spark, [(i, t) for i, t, _ in corpus], rows)
     text = {}
     for i, t, _ in corpus:
         text.setdefault(i, t or "")
@@ -386,15 +429,31 @@ def test_fingerprints(spark, corpus, docs, empty, monkeypatch):
     for r in rows:
         prints.setdefault(text[r.doc_id], set()).add(r.fingerprint)
     assert all(len(p) == 1 for p in prints.values()) and len({min(p) for p in prints.values()}) == len(prints)
-    long = next(r for r in rows if r.doc_id == 304)
-    assert 0.3 < long.near_edited < 1
     assert fingerprints.fingerprint_edits(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", [lambda n: 5, lambda n: None, lambda n: n * n * n, lambda n: [n, 2**63 - 1, -(2**63), None, 7][min(n // 20, 4)], lambda n: n % 3 or None])
+def test_ranges_of_odd_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprints, "ROWS_A_BUCKET", 3)
+    monkeypatch.setattr(fingerprints, "CUTS", 2)
+    texts = [(ids(n), f"text {n % 90} of some words\nand {n % 7}") for n in range(100)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    buckets = fingerprints.with_next(df).groupBy("bucket").count().collect()
+    check_fingerprints(spark, texts, fingerprints.fingerprint_edits(df).collect())
+    assert len(buckets) > 5 and max(b["count"] for b in buckets) < 60
+
+
+def test_likeness_of_long_repetitive_texts(spark):
+    texts = [(2, "spam ham " * 70_000), (1, "spam ham " * 70_001 + "x")]
+    rows = {r.doc_id: r for r in fingerprints.fingerprint_edits(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    check_fingerprints(spark, texts, rows.values())
+    assert rows[2].near_edited > 0.99 and rows[2].near_next > 0.99
+
+
 def test_fingerprints_have_all_their_bits(spark):
     row = fingerprints.fingerprint_edits(rows_of(spark, [(1, "a b c\nd", "s"), (2, "e f", "s")])).first()
     assert fingerprints.EXACT_LANES * fingerprints.EXACT_BITS >= 256
-    assert len(row.fingerprint) == 11 * fingerprints.EXACT_LANES + 8 + 4 * 189
+    assert len(row.fingerprint) == 11 * fingerprints.EXACT_LANES + 8 + 8 * 252
 
 
 def test_fingerprints_are_homomorphic(spark):

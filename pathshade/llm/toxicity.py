@@ -201,7 +201,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
 def pair_counts(texts: DataFrame) -> DataFrame:
     """(v, w, n0 .. n<2 * FOLDS - 1>): occurrences of each word pair in the
-    documents of slot y * FOLDS + fold, from (text, y, fold). Rows lie by w."""
+    documents of slot y * FOLDS + fold, from (text, y, fold)."""
 
     def run(batches):
         known = Hashes()
@@ -215,7 +215,7 @@ def pair_counts(texts: DataFrame) -> DataFrame:
                 v, w, slot = zip(*found) if found else ((), (), ())
                 yield pa.RecordBatch.from_pydict({"v": pa.array(v, pa.int64()), "w": pa.array(w, pa.int64()), "slot": pa.array(slot, pa.int32()), "n": pa.array(list(found.values()), pa.int32())})
 
-    rows = texts.select("text", "y", "fold").mapInArrow(run, "v long, w long, slot int, n int").repartition("w")
+    rows = texts.select("text", "y", "fold").mapInArrow(run, "v long, w long, slot int, n int")
     return rows.groupBy("v", "w").agg(*[F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)).cast("int").alias(f"n{k}") for k in range(2 * FOLDS)])
 
 

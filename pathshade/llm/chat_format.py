@@ -51,7 +51,9 @@ def format_preferences(turns: DataFrame, pair: Column, rejected: Column) -> Data
     ``rejected`` says which side it is. Turns are ordered by turn, then role and
     text; repeated rows are repeated turns. Null roles and texts are empty, rows
     with a null conv_id or pair take no part. A missing side counts as a
-    conversation without turns and has a null id. One shuffle, by pair.
+    conversation without turns and has a null id. Texts of any length are rendered whole,
+    an empty table gives no rows, and other columns are not looked at, whatever their
+    names. One shuffle, by pair.
     """
     rows = turns.select(
         pair.alias("pair_id"),

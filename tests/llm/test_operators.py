@@ -207,6 +207,25 @@ def test_ids_decode_as_the_library_decodes_them(model):
         assert sp.decode(v.encode(text)[0]) == text
 
 
+def test_encoded_table_against_all_segmentations(spark, model):
+    rng = random.Random(6)
+    texts = [prose(rng, 2) + rng.choice(["", " ñandú 日本", "\n\tx  y", "🙂"]) for _ in range(30)] + ["ab" * 4000, "", None]
+    score = {p: s for p, _, s in model.matched()}
+    longest, low = max(map(len, score)), min(score.values())
+    got = {r.doc_id: r for r in encode(rows_of(spark, [(n, t, "s") for n, t in enumerate(texts)]), PIECE_MODEL).collect()}
+    for n, text in enumerate(texts):
+        t = ("▁" + text.replace(" ", "▁")) if text else ""
+        best = [0.0] + [-math.inf] * len(t)
+        for e in range(1, len(t) + 1):
+            best[e] = max(best[b] + score.get(t[b:e], low - 10 if e - b == 1 else -math.inf) for b in range(max(0, e - longest), e))
+        assert got[n].score == pytest.approx(best[-1])
+        spelt = b"".join(bytes([int(p[3:5], 16)]) if k == 6 else p.encode() for p, k in ((model.pieces[i], model.kinds[i]) for i in got[n].ids))
+        assert spelt.decode() == t
+        # single characters without a piece cost the penalty, their bytes nothing more
+        own = sum(score[model.pieces[i]] for i in got[n].ids if model.kinds[i] != 6)
+        assert own + (low - 10) * sum(c not in score for c in t) == pytest.approx(got[n].score)
+
+
 def test_encode_and_decode_tables(spark, corpus, docs, empty):
     tokens = encode(docs, PIECE_MODEL)
     back = Counter((r.doc_id, r.text) for r in decode(tokens, PIECE_MODEL).collect())
@@ -279,12 +298,18 @@ def test_token_counts_table(spark, corpus, docs, empty, model):
 # 4
 
 
-def test_mix_sizes(spark, corpus, docs, empty):
-    rows = mixing.mix_sizes(docs, depth=2, units=8, buckets=4).collect()
-    assert len(rows) == len(corpus)
-    size, by = Counter(), {}
-    for i, t, s in corpus:
-        size[s] += len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+def words_in(text):
+    return re.findall("[^\x20\x09-\x0d]+", text or "")
+
+
+def brute_mix(spark, rows, seed=20, buckets=1):
+    """(doc_id, text, source) -> their targets, and a row (index, words) for each pass of each
+    document, by plain loops; only the hashes that permute the documents come from Spark."""
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n long, doc_id long, text string, source string").withColumn("d", F.xxhash64("doc_id", "source", "text"))
+    keys = {r.n: (r.b, r.h, r.d) for r in df.select("n", "d", F.pmod(F.xxhash64(F.lit(seed), "d"), F.lit(buckets)).alias("b"), F.xxhash64(F.lit(seed + 1), "d").alias("h")).collect()}
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(words_in(t))
     order = sorted(size, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[n % 3] for n, s in enumerate(order)}
     left, free, target = 1.5 * sum(size.values()), set(order), {}
@@ -295,18 +320,39 @@ def test_mix_sizes(spark, corpus, docs, empty):
         left = 1.5 * sum(size.values()) - sum(target.values())
     for s in free:
         target[s] = left * weight[s] / sum(weight[x] for x in free)
-    by_target = {}
-    for r in rows:
-        assert 0 <= r.taken <= 2 * r["size"]
-        by.setdefault((r.source_size, round(r.target, 6)), []).append(r.taken)
+    out = []
     for s in order:
-        by_target[(size[s], round(target[s], 6))] = by_target.get((size[s], round(target[s], 6)), 0) + target[s]
-    assert set(by) == set(by_target)
-    for k, taken in by.items():
-        assert abs(sum(taken) - by_target[k]) <= 2
-    again = mixing.mix_sizes(docs.repartition(7), depth=2, units=8, buckets=4).collect()
+        own = sorted((n for n, r in enumerate(rows) if r[2] == s), key=lambda n: (*keys[n], rows[n][0] is not None, rows[n][0] or 0))
+        for again in range(2):
+            at = again * size[s]
+            for n in own:
+                here = len(words_in(rows[n][1]))
+                words = max(0, min(here, math.floor(target[s] + 0.5) - at))
+                at += here
+                if words:
+                    out.append((n, words))
+    return size, target, out
+
+
+@pytest.mark.parametrize("options", [{"depth": 2, "units": 8, "buckets": 4}, {}])
+def test_mix_sizes(spark, corpus, docs, empty, options):
+    rows = mixing.mix_sizes(docs, **options).collect()
+    size, target, passes = brute_mix(spark, corpus, buckets=options.get("buckets", 1))
+    taken = Counter()
+    for n, words in passes:
+        taken[n] += words
+    want = Counter((i, len(words_in(t)), size[s], round(target[s], 6), taken[n]) for n, (i, t, s) in enumerate(corpus))
+    assert Counter((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in rows) == want
+    again = mixing.mix_sizes(docs.repartition(7), **options).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
-    assert mixing.mix_sizes(empty).count() == 0
+    assert mixing.mix_sizes(empty).count() == mixing.mixed_documents(empty).count() == 0
+
+
+def test_layout_grows_with_the_words():
+    assert mixing.layout(0) == mixing.layout(1) == (0, 1)
+    for words in (10**6, 10**9, 10**13):
+        depth, tasks = mixing.layout(words)
+        assert depth <= 12 and words / (tasks << depth) <= mixing.TASK_WORDS < 4 * words / (tasks << depth)
 
 
 def test_mixed_documents(spark, docs):

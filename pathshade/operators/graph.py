@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from pathshade.functions.uniforms import uniform
-from pathshade.session import written
+from pathshade.session import written, written_count
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -15,15 +17,18 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 UNROLLED, COMPACT = 3, 8
 
 
-def hops(edges: DataFrame, sources: DataFrame, key: str = "src", start: str = "src", limit: int | None = None) -> DataFrame:
+def hops(edges: DataFrame, sources: DataFrame, key: str = "src", start: str = "src", limit: int | None = None, symmetric: bool = False, wanted: DataFrame | None = None) -> DataFrame:
     """(key, v, d): hop distances up to ``limit`` from each source.
 
     ``sources`` has the key and its start node (several rows for a multi-source
     search). Parallel edges do not change distances, so edges are distinct once. A short
     radius is one lazy plan: walks of each length, then the shortest per node. A
-    longer search goes frontier by frontier, against all nodes its key has
-    seen; each frontier is written, so no lineage grows, and the visited
-    set is compacted every few rounds.
+    longer search goes frontier by frontier, against what its key has seen; each frontier is
+    written and counted in one job, so no lineage grows. In a ``symmetric`` graph a
+    neighbour of a frontier lies in it, in the one before, or is new, so two frontiers are
+    all that is looked at; else the visited set is compacted every few rounds.
+
+    wanted(key, v): a key's search ends with the level that completes its nodes.
     """
     links = edges.select(F.col("u").alias("_from"), F.col("v").alias("_to")).distinct()
     at = lambda df, d: df.select(key, "v", F.lit(d).cast("long").alias("d"))
@@ -36,32 +41,45 @@ def hops(edges: DataFrame, sources: DataFrame, key: str = "src", start: str = "s
             seen = seen.unionByName(front)
         return seen.groupBy(key, "v").agg(F.min("d").alias("d"))
     links, front = written(links, "links"), written(front, "frontier")
-    seen, d = front, 0
+    seen, recent, d = front, [front], 0
     while limit is None or d < limit:
+        if wanted is not None:
+            wanted, left = written_count(wanted.join(front.select(key, "v"), [key, "v"], "left_anti"), "wanted")
+            if not left:
+                break
+            front = front.join(wanted.select(key).distinct(), key, "left_semi")
         d += 1
-        front = written(at(step(front).join(seen.select(key, "v"), [key, "v"], "left_anti"), d), "frontier")
-        if not front.limit(1).count():
+        known = reduce(DataFrame.unionByName, recent) if symmetric else seen
+        front, new = written_count(at(step(front).join(known.select(key, "v"), [key, "v"], "left_anti"), d), "frontier")
+        if not new:
             break
-        seen = seen.unionByName(front)
-        if d % COMPACT == 0:
+        seen, recent = seen.unionByName(front), [recent[-1], front]
+        if d % COMPACT == 0 and not symmetric:
             seen = written(seen, "visited")
     return seen
 
 
-def reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def reachable(edges: DataFrame, pairs: DataFrame, symmetric: bool = False) -> DataFrame:
     """The pairs (.., s, t) of which t can be reached from s."""
-    found = hops(edges, pairs.select(F.col("s").alias("src")).distinct())
+    wanted = pairs.select(F.col("s").alias("src"), F.col("t").alias("v")).distinct()
+    found = hops(edges, wanted.select("src").distinct(), symmetric=symmetric, wanted=wanted)
     return pairs.join(found.select(F.col("src").alias("s"), F.col("v").alias("t")), ["s", "t"], "left_semi")
 
 
-def shortest_path_dag(edges: DataFrame, agents: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def both_ways(edges: DataFrame, agents: DataFrame, symmetric: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Distances from each s and to each t, no farther than their own pairs lie apart."""
+    there = agents.select(F.col("s").alias("src"), F.col("t").alias("v")).distinct()
+    ds = hops(edges, there.select("src").distinct(), symmetric=symmetric, wanted=there)
+    # pairs that are apart would keep the way back going, and are known by now
+    back = there.join(ds, ["src", "v"], "left_semi").select(F.col("v").alias("src"), F.col("src").alias("v"))
+    return ds, hops(reversed_edges(edges), back.select("src").distinct(), symmetric=symmetric, wanted=back)
+
+
+def shortest_path_dag(edges: DataFrame, agents: DataFrame, allowed: DataFrame | None = None, symmetric: bool = False) -> DataFrame:
     """dag(agent, u, v, d): for agents(agent, s, t) the edges with
     dist(v) = dist(u) + 1 that lie on a shortest path; d is dist(u). Parallel
     edges stay, they count as different paths. allowed(agent, v) masks nodes."""
-    starts = agents.select(F.col("s").alias("src")).distinct()
-    ends = agents.select(F.col("t").alias("src")).distinct()
-    ds = hops(edges, starts)
-    dt = hops(reversed_edges(edges), ends)
+    ds, dt = both_ways(edges, agents, symmetric)
     far = agents.join(ds.select(F.col("src").alias("s"), F.col("v").alias("t"), F.col("d").alias("total")), ["s", "t"])
     near = far.join(ds.select(F.col("src").alias("s"), F.col("v").alias("u"), "d"), "s").where("d < total")
     steps = near.join(edges.select("u", "v"), "u")
@@ -72,15 +90,14 @@ def shortest_path_dag(edges: DataFrame, agents: DataFrame, allowed: DataFrame |
     return dag
 
 
-def corridor(edges: DataFrame, agents: DataFrame, radius: int) -> DataFrame:
+def corridor(edges: DataFrame, agents: DataFrame, radius: int, symmetric: bool = False) -> DataFrame:
     """corridor(agent, v): nodes within ``radius`` hops of a node that lies on a
     shortest path of the agent."""
-    ds = hops(edges, agents.select(F.col("s").alias("src")).distinct())
-    dt = hops(reversed_edges(edges), agents.select(F.col("t").alias("src")).distinct())
+    ds, dt = both_ways(edges, agents, symmetric)
     total = agents.join(ds.select(F.col("src").alias("s"), F.col("v").alias("t"), F.col("d").alias("total")), ["s", "t"])
     line = total.join(ds.select(F.col("src").alias("s"), "v", "d"), "s").join(dt.select(F.col("src").alias("t"), "v", F.col("d").alias("left")), ["t", "v"])
     line = line.where(F.col("d") + F.col("left") == F.col("total")).select("agent", "v")
-    return hops(edges, line, key="agent", start="v", limit=radius).select("agent", "v").distinct()
+    return hops(edges, line, key="agent", start="v", limit=radius, symmetric=symmetric).select("agent", "v").distinct()
 
 
 def random_obstacles(nodes: DataFrame, count: int, seed: int, exclude: DataFrame | None = None) -> DataFrame:

@@ -276,7 +276,7 @@ def path_summary(spark, sf):
 
 @query
 def bfs_distances(spark, sf):
-    return gr.hops(i.sparse(spark, sf), i.sources(spark, sf))
+    return gr.hops(i.sparse(spark, sf), i.sources(spark, sf), symmetric=True)
 
 
 @query
@@ -287,12 +287,12 @@ def reachable_pairs(spark, sf):
 
 @query
 def shortest_path_dag(spark, sf):
-    return gr.shortest_path_dag(i.sparse(spark, sf), i.sparse_agents(spark, sf))
+    return gr.shortest_path_dag(i.sparse(spark, sf), i.sparse_agents(spark, sf), symmetric=True)
 
 
 @query
 def corridor_band(spark, sf):
-    return gr.corridor(i.sparse(spark, sf), i.sparse_agents(spark, sf), 1)
+    return gr.corridor(i.sparse(spark, sf), i.sparse_agents(spark, sf), 1, symmetric=True)
 
 
 @query
@@ -378,7 +378,7 @@ def k_distinct_paths(spark, sf):
 
 def _dag(spark, sf):
     a = written(i.sparse_agents(spark, sf), "agents")
-    return a, written(gr.shortest_path_dag(i.sparse(spark, sf), a), "dag")
+    return a, written(gr.shortest_path_dag(i.sparse(spark, sf), a, symmetric=True), "dag")
 
 
 @query

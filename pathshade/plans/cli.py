@@ -99,7 +99,9 @@ def distribution(o: argparse.Namespace) -> ag.OD:
 
 def load_graph(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame, int]:
     if o.graph_bin_in:
-        return read_bundle(spark, o.graph_bin_in), read_bundle_sets(spark, o.graph_bin_in)["n"]
+        about = read_bundle_sets(spark, o.graph_bin_in)
+        o.undirected = o.undirected and not about["directed"]
+        return read_bundle(spark, o.graph_bin_in), about["n"]
     if o.make_grid:
         return grid_edges(spark, o.make_grid), o.make_grid.n
     lines = tx.read_lines(spark, o.edges)
@@ -121,7 +123,7 @@ def sample_paths(spark: SparkSession, edges: DataFrame, candidates: DataFrame, o
         attempts = spark.range(at, min(most, at + size)).withColumnRenamed("id", "attempt")
         drawn = written(ag.sample_od(attempts, walk, od, seed, ag.TRIES, hot, blocked), "drawn")
         pairs.append(drawn)
-        parts.append(drawn if lattice else written(gr.reachable(edges, drawn).select("attempt", "s", "t", "try"), "reachable"))
+        parts.append(drawn if lattice else written(gr.reachable(edges, drawn, o.undirected).select("attempt", "s", "t", "try"), "reachable"))
         have += parts[-1].count()
         at, size = at + size, size * 2
     if not have:
@@ -136,8 +138,8 @@ def sample_paths(spark: SparkSession, edges: DataFrame, candidates: DataFrame, o
     if lattice:
         drawn = pt.lattice_arrays(agents, o.od_cols, tries, seed)
     else:
-        band = written(gr.corridor(edges, agents, o.corridor_band_r), "band") if o.corridor_band_r >= 0 else None
-        dag = written(gr.shortest_path_dag(edges, agents, band), "dag")
+        band = written(gr.corridor(edges, agents, o.corridor_band_r, o.undirected), "band") if o.corridor_band_r >= 0 else None
+        dag = written(gr.shortest_path_dag(edges, agents, band, o.undirected), "dag")
         drawn, nodes = pt.arrays_of(pt.dag_draws(dag, written(pt.dag_counts(dag, agents), "counts"), agents, tries, seed)), band
     path_nodes = written(pt.exploded(pt.distinct_arrays(drawn, k)), "paths")
     return Sample(path_nodes, written(pt.path_lengths(path_nodes), "lengths"), nodes), dropped if o.corridor_band_r >= 0 else 0

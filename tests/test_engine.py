@@ -313,6 +313,34 @@ def test_lb3_stops_when_two_rounds_agree(spark):
     assert lb3.iterate(o, [5], 1, rounds=1).picked == [u for u, _ in greedy(lb3.linearised(o, [5], 1.0), 1)]  # the first round replaces the start
 
 
+def test_searches_end_early_and_agree(spark):
+    from pathshade.operators import graph as gr
+
+    rng = np.random.default_rng(5)
+    one_way = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, (110, 2))], "u long, v long").cache()
+    two_way = one_way.union(one_way.select("v", "u")).cache()
+    agents = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 70, (25, 2)))], "agent long, s long, t long")
+
+    def distances(edges):
+        near = {}
+        for r in edges.collect():
+            near.setdefault(r.u, set()).add(r.v)
+        out = {}
+        for s in range(70):
+            out[s], todo = {s: 0}, [s]
+            while todo:
+                todo = [(out[s].setdefault(v, out[s][u] + 1), v)[1] for u in todo for v in near.get(u, ()) if v not in out[s]]
+        return out
+
+    for edges, symmetric in ((one_way, False), (two_way, True), (two_way, False)):
+        d, rows = distances(edges), agents.collect()
+        got = {(r.src, r.v): r.d for r in gr.hops(edges, agents.select(F.col("s").alias("src")).distinct(), symmetric=symmetric).collect()}
+        assert got == {(r.s, v): x for r in rows for v, x in d[r.s].items()}
+        assert {r.agent for r in gr.reachable(edges, agents, symmetric).collect()} == {r.agent for r in rows if r.t in d[r.s]}
+        want = sorted((r.agent, e.u, e.v, d[r.s][e.u]) for r in rows if r.t in d[r.s] for e in edges.collect() if e.u in d[r.s] and r.t in d[e.v] and d[r.s][e.u] + 1 + d[e.v][r.t] == d[r.s][r.t])
+        assert sorted(map(tuple, gr.shortest_path_dag(edges, agents, symmetric=symmetric).collect())) == want
+
+
 def test_smart_places_copy_inputs(spark, tmp_path, monkeypatch):
     from pathshade.plans.cli import main
     from pathshade.plans.locations import copy, located, on_disk

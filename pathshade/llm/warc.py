@@ -28,6 +28,8 @@ END = CRLF * 2
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 32 << 20
+#: Of gzip: little more than half the time of the default for 4 % more bytes.
+LEVEL = "FOUR"
 #: Pages of more than LARGE times the mean are laid out in files of their own, so that no
 #: file of several records exceeds LARGE * FILE_BYTES.
 LARGE = 16
@@ -71,7 +73,7 @@ def record(kind: Column, record_id: Column, page_id: Column, url: Column, payloa
 
 def write_archive(records: DataFrame, path: str, per_file: int) -> str:
     """``records`` has the one string column ``record``."""
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    records.write.options(**{"lineSep": END, "compression": "gzip", "zlib.compress.level": LEVEL, "maxRecordsPerFile": per_file}).text(path)
     return path
 
 

@@ -27,9 +27,9 @@ from pathshade.session import written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
-#: Words a task lays out, leaves of the tree at most (beyond that a leaf is several tasks).
-TASK_WORDS, LEAVES = 1 << 18, 1 << 12
-RANGE_ROWS = 1 << 14
+#: Words of a leaf, but for there being no more than LEAVES of these; words a task lays out.
+LEAF_WORDS, LEAVES, TASK_WORDS = 1 << 20, 1 << 12, 1 << 18
+RANGE_ROWS = 1 << 11
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -70,9 +70,9 @@ def split_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
 
 def layout(words: float) -> tuple[int, int]:
     """Depth of the tree, and tasks a leaf, for a mix of so many words."""
-    tasks = max(1, math.ceil(words / TASK_WORDS))
-    depth = math.ceil(math.log2(min(tasks, LEAVES)))
-    return depth, math.ceil(tasks / (1 << depth))
+    leaves = min(LEAVES, max(1, math.ceil(words / LEAF_WORDS)))
+    depth = math.ceil(math.log2(leaves))
+    return depth, max(1, math.ceil(words / TASK_WORDS / (1 << depth)))
 
 
 def identity() -> list[Column]:

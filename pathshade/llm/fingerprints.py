@@ -31,7 +31,7 @@ EXACT_BITS = 42
 LANES = SEEDS * SHIFTS * 3
 SPREAD = (1 << 42) | (1 << 21) | 1
 #: Rows of a range of doc_id, on average, and the quantiles between which ranges are cut (squared).
-ROWS_A_BUCKET, CUTS = 4096, 16
+ROWS_A_BUCKET, CUTS = 256, 16
 
 
 def fingerprint(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -96,9 +96,9 @@ def likeness(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.when((norm_a == 0) | (norm_b == 0), zero).otherwise(F.least(F.lit(1.0), F.greatest(zero, dot / F.sqrt(norm_a * norm_b))))
 
 
-def ranges(docs: DataFrame) -> Column:
-    """The range (bucket) of a row of (doc_id, h, text): higher ones hold larger ids,
-    null ids have negative ones. Quantiles of doc_id cut the table, equal widths cut what
+def ranges(docs: DataFrame) -> tuple[Column, int]:
+    """The range (bucket) of a row of (doc_id, h, text), and the span of numbers that the
+    ranges between two quantiles share: higher ones hold larger ids, null ids have negative ones. Quantiles of doc_id cut the table, equal widths cut what
     lies between two, so an outlying id does not matter; an id that several
     quantiles share, and null, are cut by h, which orders the rows of one id."""
     at = [i / CUTS**2 for i in range(CUTS**2 + 1)]
@@ -123,7 +123,7 @@ def ranges(docs: DataFrame) -> Column:
     if max(heavy) > 1:
         parts = F.element_at(longs(points), place)
         own = F.when((F.col("doc_id") == low) & (parts > 1), parts - 1 - cut_by_h(parts)).otherwise(own)
-    return F.when(F.col("doc_id").isNull(), none).otherwise(place.cast("long") * (2 * most) + own).cast("long")
+    return F.when(F.col("doc_id").isNull(), none).otherwise(place.cast("long") * (2 * most) + own).cast("long"), 2 * most
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -138,12 +138,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 33))
-    placed = docs.withColumn("bucket", ranges(docs))
+    bucket, span = ranges(docs)
+    placed = docs.withColumn("bucket", bucket)
     w = W.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "h", "text")
     rows = placed.select("bucket", "doc_id", "h", "text").withColumns({"rid": F.row_number().over(w), "next_text": F.lead("text").over(w), "first": F.lag("bucket").over(w).isNull()})
-    order = W.orderBy(F.desc("bucket"))  # a row a bucket
-    known = placed.select("bucket").distinct()
-    before = known.select("bucket", F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(W.partitionBy())).alias("to"))
+    known = placed.select("bucket").distinct().withColumn("part", F.floor(F.col("bucket") / span))
+    ends = known.groupBy("part").agg(F.min("bucket").alias("bottom"))  # a row for two quantiles, and one for null
+    ends = ends.select("part", F.coalesce(F.lag("bottom").over(W.orderBy(F.desc("part"))), F.min("bottom").over(W.partitionBy())).alias("above"))
+    within = W.partitionBy("part").orderBy(F.desc("bucket"))
+    before = known.join(ends, "part").select("bucket", F.coalesce(F.lag("bucket").over(within), F.col("above")).alias("to"))
     heads = rows.where("first").select("bucket", "text").join(before, "bucket").select(F.col("to").alias("bucket"), F.col("text").alias("head"))
     last = F.col("next_text").isNull()
     return rows.join(heads, "bucket").select("bucket", "rid", "doc_id", "text", F.when(last, F.col("head")).otherwise(F.col("next_text")).alias("next_text"), last.alias("last"))

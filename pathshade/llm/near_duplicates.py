@@ -258,14 +258,16 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     keys = classes.where("n > 0").select("cid", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    # small sides of joins on keys that a large group shares are written, so that adaptive
+    # execution may split the other side
+    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key"), "shared")
     members = written(keys.join(shared, "key"), "members")
     labels = members.select("cid", F.col("cid").alias("label")).distinct()
     for _ in range(2):  # enough to gather most near copies; what is left apart still meets
         tagged = members.join(labels, "cid")
-        least = tagged.groupBy("key").agg(F.min("label").alias("label"))
+        least = written(tagged.groupBy("key").agg(F.min("label").alias("label")), "near-least")
         labels = written(members.join(least, "key").groupBy("cid").agg(F.min("label").alias("label")), "near-labels")
-    sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = written(labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "near-sizes")
     home = written(labels.join(sizes, "label").select("cid", F.xxhash64("label", F.pmod(F.xxhash64("cid"), F.col("blocks"))).alias("block")), "homes")
 
     at = members.join(home, "cid").select("key", "block").distinct()
@@ -279,7 +281,8 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     named = classes.select("cid", "digest", "rep").join(links, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.withColumn("component", F.coalesce("component", "cid"))
-    least = named.groupBy("component").agg(F.min("rep").alias("head"))
+    named = written(named, "components")
+    least = written(named.groupBy("component").agg(F.min("rep").alias("head")), "heads")
     named = named.join(least, "component").select(
         "digest",
         F.col("rep.doc_id").alias("class_id"),

@@ -352,7 +352,7 @@ def test_layout_grows_with_the_words():
     assert mixing.layout(0) == mixing.layout(1) == (0, 1)
     for words in (10**6, 10**9, 10**13):
         depth, tasks = mixing.layout(words)
-        assert depth <= 12 and words / (tasks << depth) <= mixing.TASK_WORDS < 4 * words / (tasks << depth)
+        assert depth <= 12 and words / (tasks << depth) <= mixing.TASK_WORDS <= 4 * words / (tasks << depth)
 
 
 def test_mixed_documents(spark, docs):
@@ -712,3 +712,22 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.scored(docs, toxicity.train(docs, x)).orderBy("doc_id").collect() for x in (labels, flipped))
     assert a == b
+
+
+# very long texts
+
+
+def test_very_long_texts(spark, model):
+    rng = random.Random(9)
+    long = " ".join(rng.choices(VOCAB, k=300_000))
+    pages = spark.createDataFrame([(2, "u", long), (1, "u", long), (3, "u", "x")], "page_id long, url string, html string")
+    assert {(r.page_id, r.payload_bytes, r.refers_to) for r in warc.deduplicated_pages(pages).collect()} == {(1, len(long), None), (2, len(long), 1), (3, 1, None)}
+    turns = spark.createDataFrame([(0, 0, "user", long), (0, 1, "assistant", long), (1, 0, "user", long)], "conv_id long, turn long, role string, text string")
+    pair = format_preferences(turns, F.lit(0), F.col("conv_id") == 1).first()
+    assert pair.prompt_turns == 1 and pair.chosen[pair.chosen_mask[0].start : pair.chosen_mask[0].stop] == long + "<|end|>\n" and pair.rejected == ""
+    docs = rows_of(spark, [(1, long, "s"), (2, "x", "s")])
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") == 2).cast("int").alias("toxic"))
+    assert toxicity.scored(docs, toxicity.train(docs, labels)).count() == 2
+    own = LongestMatchCounter.of(model)
+    counted = next(r for r in token_counts(docs, PIECE_MODEL).collect() if r.doc_id == 1)
+    assert (counted.n_words, counted.n_tokens) == (300_000, sum(map(own.count, long.split())))

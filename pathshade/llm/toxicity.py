@@ -70,6 +70,23 @@ class Hashes(dict):
         return found
 
 
+class Numbers(dict):
+    """word -> its place among sorted hashes, or their number; remembered up to a bound."""
+
+    def __init__(self, hashes: np.ndarray):
+        super().__init__()
+        self.places = {h: i for i, h in enumerate(hashes.tolist())}
+
+    def number(self, h: int) -> int:
+        return self.places.get(h, len(self.places))
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        found = self[word] = self.number(word_hash(word))
+        return found
+
+
 def discount(c, margin: float):
     return np.minimum(c, margin * np.sqrt(c))
 
@@ -140,11 +157,15 @@ class Scorer:
         v, w = np.divmod(model.keys, len(model.words) + 1)
         self.pair = ratio(model.back[:, v] * model.single[:, w] + model.pair).astype(np.float32)
 
-    ids = Model.ids
+    def ids(self, words: list[str]) -> np.ndarray:
+        if self.index is None:  # once a worker
+            self.index = Numbers(self.words)
+        return np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def ratios(self, hashes: list[int]) -> np.ndarray:
-        ids = self.ids([START, *hashes])
-        v, w = ids[:-1], ids[1:]
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood of each word after the one before, toxic less ordinary."""
+        w = self.ids(words)
+        v = np.concatenate(([self.index.number(START)], w[:-1]))
         out = self.history[v].astype(np.float64) + self.word[w]
         if len(self.keys):
             key = v * (len(self.words) + 1) + w
@@ -153,19 +174,19 @@ class Scorer:
             out[hit] = self.pair[at[hit]]
         return out
 
-    def features(self, hashes: list[int]) -> list[float]:
+    def features(self, words: list[str]) -> list[float]:
         """Length-normalised log-likelihood, toxic less ordinary, of the text and of
         its most toxic passage of each length; 0 for a text without words."""
-        if not hashes:
+        if not words:
             return [0.0] * (1 + len(PASSAGES))
-        sums = np.concatenate(([0.0], np.cumsum(self.ratios(hashes))))
-        lengths = [min(n, len(hashes)) for n in PASSAGES]
-        return [float(sums[-1] / len(hashes)), *(float((sums[n:] - sums[:-n]).max() / n) for n in lengths)]
+        sums = np.concatenate(([0.0], np.cumsum(self.ratios(words))))
+        lengths = [min(n, len(words)) for n in PASSAGES]
+        return [float(sums[-1] / len(words)), *(float((sums[n:] - sums[:-n]).max() / n) for n in lengths)]
 
-    def score(self, hashes: list[int]) -> float:
+    def score(self, words: list[str]) -> float:
         if not all(self.docs):
             return float(self.docs[1] > 0)
-        return float(1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1:] @ np.array(self.features(hashes)), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1:] @ np.array(self.features(words)), -30, 30))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -311,9 +332,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int) -> Scorer:
         with lent(docs.sparkSession, counts.model(docs_left, fold).scorer()) as shared:
 
             def value(batches, shared=shared):
-                m, known = shared(), Hashes()
+                m = shared()
                 for batch in batches:
-                    f = [m.features([known[w] for w in words_of(x)]) for x in batch.column(0).to_pylist()]
+                    f = [m.features(words_of(x)) for x in batch.column(0).to_pylist()]
                     yield pa.RecordBatch.from_pydict({"y": batch.column(1), **{f"f{i}": pa.array([v[i] for v in f], pa.float64()) for i in range(1 + len(PASSAGES))}})
 
             rows = matrix(texts.where(F.col("fold") == fold).select("text", "y").mapInArrow(value, "y int, " + ", ".join(f"f{i} double" for i in range(1 + len(PASSAGES)))))
@@ -332,11 +353,11 @@ def scored(docs: DataFrame, model: Scorer, least: float = 0.3) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        m, known = shared(), Hashes()
+        m = shared()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([m.score([known[w] for w in words_of(x)]) for x in part.column(1).to_pylist()], pa.float64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([m.score(words_of(x)) for x in part.column(1).to_pylist()], pa.float64())], schema=schema)
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
@@ -349,10 +370,10 @@ def without_toxic(docs: DataFrame, model: Scorer, least: float = 0.3) -> DataFra
     at_text = docs.columns.index("text")
 
     def run(batches):
-        m, known = shared(), Hashes()
+        m = shared()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield part.filter(pa.array([m.score([known[w] for w in words_of(x)]) < least for x in part.column(at_text).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([m.score(words_of(x)) < least for x in part.column(at_text).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -696,7 +696,7 @@ def test_kneser_ney_against_brute_force(spark):
         words = re.findall(r"\w+", text.lower())
         hashes = [toxicity.word_hash(w) for w in words]
         got = model.probabilities(hashes)
-        assert model.scorer().ratios(hashes) == pytest.approx(np.log(got[1] / got[0]), abs=1e-5)
+        assert model.scorer().ratios(words) == pytest.approx(np.log(got[1] / got[0]), abs=1e-5)
         for k, (v, w) in enumerate(zip(["<start>", *words], words)):
             for y in (0, 1):  # a word that the sample lacks has the share of one that no document holds
                 assert got[y, k] == pytest.approx(pair(v, w if w in known else "<none>", y), rel=1e-9)

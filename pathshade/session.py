@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -51,19 +52,19 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Lists that ``scratch`` has open.
-_kept: list[list[str]] = []
+#: Lists that ``scratch`` has open in this thread.
+_kept: ContextVar[tuple[list[str], ...]] = ContextVar("kept", default=())
 
 
 @contextmanager
 def scratch() -> Iterator[list[str]]:
-    """The paths that ``written`` makes while it is open, in order."""
+    """The paths that ``written`` makes in this thread while it is open, in order."""
     mine: list[str] = []
-    _kept.append(mine)
+    token = _kept.set((*_kept.get(), mine))
     try:
         yield mine
     finally:
-        _kept[:] = [x for x in _kept if x is not mine]
+        _kept.reset(token)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -72,7 +73,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    for kept in _kept:
+    for kept in _kept.get():
         kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -313,6 +313,26 @@ def test_lb3_stops_when_two_rounds_agree(spark):
     assert lb3.iterate(o, [5], 1, rounds=1).picked == [u for u, _ in greedy(lb3.linearised(o, [5], 1.0), 1)]  # the first round replaces the start
 
 
+def test_scratch_is_of_one_thread(spark):
+    from threading import Thread
+
+    from pathshade.session import delete, scratch, shared_dir, written
+
+    df = spark.range(3)
+    with scratch() as outer:
+        with scratch() as inner:
+            table = written(df)
+        other = Thread(target=written, args=(df,))
+        other.start()
+        other.join()
+        written(df)
+    written(df)
+    assert len(inner) == 1 and len(outer) == 2 and outer[0] == inner[0] and outer[0].startswith(shared_dir(spark))
+    assert table.count() == 3
+    delete(spark, inner[0])
+    assert not os.path.exists(inner[0].removeprefix("file:"))
+
+
 def test_searches_end_early_and_agree(spark):
     from pathshade.operators import graph as gr
 

@@ -25,11 +25,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
 
 from pathshade.llm.components import components
-from pathshade.llm.ship import unused
+from pathshade.llm.ship import identity, unused
 from pathshade.session import written
 
 SHINGLE = 5
@@ -152,12 +152,6 @@ def links_between(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, rig
     return i[linked], j[linked]
 
 
-def identity() -> Column:
-    """With doc_id, names a document: different texts under one id, or none, are
-    different documents."""
-    return F.xxhash64(F.col("doc_id").cast("long"), "text")
-
-
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, own, digest (of the shingle set; of a text without words, of the
     text), n, signature, bands for every row."""

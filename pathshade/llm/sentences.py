@@ -27,10 +27,10 @@ from zlib import crc32
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
 
-from pathshade.llm.ship import unused
+from pathshade.llm.ship import identity, unused
 from pathshade.session import written
 
 SENTENCES, WORDS = 2, 20
@@ -96,12 +96,6 @@ def spans(pieces: list[str], sentences: int, words: int):
         yield i, bare[end - 1][0] - i + 1, xxhash.xxh3_128_digest("\n".join(flat[k:end]).encode())
 
 
-def identity() -> Column:
-    """With doc_id, names a document: different texts under one id, or none, are
-    different documents."""
-    return F.xxhash64(F.col("doc_id").cast("long"), "text")
-
-
 def all_spans(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     """span, doc_id, own, at, n, later: one row per occurrence, but for those equal in
     all. later marks occurrences that follow another of their stretch; their span is replaced by

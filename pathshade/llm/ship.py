@@ -1,10 +1,10 @@
-"""Bounded models for Python workers."""
+"""Bounded models for Python workers, free column names, and what names a document."""
 
 from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shipped(spark: SparkSession, model):
@@ -46,3 +46,9 @@ def unused(df: DataFrame, *names: str) -> list[str]:
             name = "_" + name
         out.append(name)
     return out
+
+
+def identity() -> Column:
+    """With doc_id, names a document: different texts under one id, or none, are
+    different documents."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")

@@ -21,11 +21,11 @@ from pathshade.operators import weights as wt
 from pathshade.operators.evaluate import evaluate, evaluate_difference
 from pathshade.plans import caches as ch
 from pathshade.plans import inputs as i
-from pathshade.plans.metadata import value
+from pathshade.plans.metadata import asked, value
 from pathshade.plans.methods import Context
 from pathshade.plans.methods import run as run_method
 from pathshade.plans.oracles import OPTIONS, ORACLES  # noqa: F401
-from pathshade.plans.sandwich import Config, Sample, sandwich
+from pathshade.plans.sandwich import Config, Sample, report, report_tsv, sandwich
 from pathshade.session import new_path, written
 from pathshade.sources import text as tx
 from pathshade.sources.bundle import read_bundle, write_bundle
@@ -581,6 +581,25 @@ def sandwich_report(spark, sf):
     return spark.createDataFrame([(k, value(out[k])) for k in REPORTED], "key string, value string")
 
 
+@query
+def report_metadata(spark, sf):
+    """What a report says that a run was asked for, in order."""
+    run = {"cap_cache": True, "corridor_band_r": -1, "M_agents": 100, "K_paths_per_agent": 5, "M_eval": 0, "reuse_eval_samples": True, "seed": 7}
+    rows = asked(Config(k=5, lam=i.LAMBDA), run, ag.OD("band", 4, 12, rows=16, cols=16))
+    return spark.createDataFrame([(n, k, value(v)) for n, (k, v) in enumerate(rows)], "ord long, key string, value string")
+
+
+@query
+def report_file(spark, sf):
+    """A report's lines, written and read back."""
+    o = Problem(spark, sf, i.LOG, soft=True).original()
+    of = {"pick": i.PICKED, "UB": i.PICKED, "LB": i.OTHER}
+    result = {f"S_{k}": list(s) for k, s in of.items()} | {f"stats_{k}": evaluate(o, s).first().asDict() for k, s in of.items()}
+    path = new_path(spark, "report")
+    tx.write_bytes(spark, path, report_tsv(report(result, [("tag", "t"), ("k", "5")])).encode())
+    return spark.createDataFrame(list(enumerate(tx.read_text(spark, path).rstrip("\n").split("\n"))), "ord long, value string")
+
+
 def _method(name: str, k: int):
     def run(spark, sf):
         p = Problem(spark, sf, i.LOG, soft=True)

@@ -274,6 +274,28 @@ def od(kind: str) -> str:
     return f"WITH {head}, pr AS (SELECT *, row_number() OVER (PARTITION BY attempt ORDER BY {rank}, s, t) AS k FROM ({pairs}) WHERE {good}) SELECT attempt, s, t, CAST(try AS BIGINT) AS try FROM pr WHERE k = 1"
 
 
+# What a report says that a run was asked for: fixed names, in a fixed order.
+ASKED = [
+    ("k", "5"), ("corridor_r", "2"), ("ub_mode", "CertifiedUnion"), ("cap_mode", "Auto"), ("cap_topk_k", "0"), ("cap_cache", "true"), ("lambda", "0.250000"), ("psi_type", "ClipMinC"), ("psi_C", "1.000000"), ("corridor_band_r", "-1"),
+    ("M_agents", "100"), ("K_paths_per_agent", "5"), ("M_eval", "0"), ("reuse_eval_samples", "true"), ("ci_alpha", "0.050000"), ("proxy_baseline_enabled", "true"), ("proxy_corridor_r", "2"), ("use_LB2_fixed_mixture", "false"), ("use_LB3_softmax", "false"), ("lb3_softmax_eta", "1.000000"),
+    ("use_LB3_single", "false"), ("use_LB3_iter", "false"), ("lb3_start_from_UB", "true"), ("lb3_max_iters", "1"), ("lb3_eta", "1.000000"), ("lb3_tol", "0.000001"), ("lb3_keep_best", "true"), ("seed", "7"), ("od_distribution", "UniformWithDistBand"), ("od_rows", "16"),
+    ("od_cols", "16"), ("od_dist_band", "4,12"), ("od_sigma", "0.000000"), ("od_decay_beta", "0.000000"), ("od_hotspot_count", "0"),
+]
+
+
+def report_lines() -> str:
+    head = f"WITH {problem('original')}, {state('m0', ids(PICKED))}, {state('m1', ids(OTHER))}"
+    for n in (0, 1):
+        head += f", st{n} AS MATERIALIZED ({stats(f'SELECT max(score) AS value FROM ({scores(f'm{n}')}) GROUP BY agent')})"
+    plain = lambda line: f"SELECT '{line}' AS value"
+    rows = [plain("tag\tt"), plain("k\t5")]
+    for name, n, picked in (("pick", 0, PICKED), ("UB", 0, PICKED), ("LB", 1, OTHER)):
+        rows += [plain(""), plain(f"{name}\tBEGIN"), plain(f"{name}\tS\t" + " ".join(map(str, picked)))]
+        rows += [f"SELECT '{name}\t{c}\t' || printf('%.6f', {c}) AS value FROM st{n}" for c in ("mean", "var", "se", "ci_low", "ci_high")]
+        rows += [f"SELECT '{name}\tM\t' || m AS value FROM st{n}", plain(f"{name}\tEND")]
+    return head + " " + " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS ord, value FROM ({r})" for n, r in enumerate(rows))
+
+
 def lines_of(rows: str, column: str) -> str:
     return f"SELECT CAST({column} AS VARCHAR) AS value FROM ({rows})"
 
@@ -351,6 +373,8 @@ ORACLES: dict[str, str] = {
     "dataset_summary": f"SELECT (SELECT count(*) FROM customer) AS nodes, (SELECT count(*) FROM ({SPARSE})) // 2 AS edges, (SELECT count(*) FROM ({DEDUPED})) AS candidates, (SELECT count(*) FROM ({BLOCKED})) AS blocked",
     "lattice_log_counts": f"SELECT agent, round(coalesce(list_sum(list_transform(range(1, least(r, c) + 1), lambda i: ln(CAST(r + c - least(r, c) + i AS DOUBLE)) - ln(CAST(i AS DOUBLE)))), 0), 6) AS log_paths FROM (SELECT agent, abs(t // 16 - s // 16) AS r, abs(t % 16 - s % 16) AS c FROM ({AGENTS}))",
     "option_values": values(OPTIONS).replace("SELECT *", "SELECT col0 AS kind, col1 AS given, col2 AS found"),
+    "report_metadata": values([(str(n), *r) for n, r in enumerate(ASKED)]).replace("SELECT *", "SELECT CAST(col0 AS BIGINT) AS ord, col1 AS key, col2 AS value"),
+    "report_file": report_lines(),
     "lb3_iterate": lb3(3),
     "sandwich_report": sandwich(3),
     "method_random_k": method(f"SELECT row_number() OVER (ORDER BY {uni(str(SEED), 'v')}, v) - 1 AS pos, v AS u FROM ({NODES}) QUALIFY pos < 4"),

@@ -61,7 +61,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.words
-        if len(known) > 200_000:
+        if len(known) > 100_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)

@@ -22,7 +22,7 @@ that ranks it.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, islice
 from zlib import crc32
 
 import pyarrow as pa
@@ -35,8 +35,8 @@ from pathshade.session import written
 
 SENTENCES, WORDS = 2, 20
 WINDOW = 15
-#: Distinct spans that a worker holds at a time, about 60 MB.
-HELD = 200_000
+#: Distinct spans that a worker holds at a time, about 30 MB.
+HELD = 100_000
 #: A sentence ends after ., ! or ? and white space, or at a line break, which it keeps.
 SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|$)[^\n.!?]*)*(?:[.!?]+(?=\s|$)[^\S\n]*\n*|\n+|$)")
 TOKEN = re.compile(r"\w+")
@@ -114,23 +114,25 @@ def all_spans(docs: DataFrame, sentences: int, words: int) -> DataFrame:
             return (b"-" + xxhash.xxh3_128_digest(key), None if place[0] else place[1], place[2], place[3], n, True)
 
         def first(held):
-            found = [(span, None if at[0] else at[1], at[2], at[3], n, False) for span, (at, n) in held.items()]
-            for k in range(0, len(found), 50_000):
-                yield batch_of(found[k : k + 50_000])
+            items = iter(held.items())
+            while some := [(span, None if at[0] else at[1], at[2], at[3], n, False) for span, (at, n) in islice(items, 20_000)]:
+                yield batch_of(some)
 
         for batch in batches:
-            for doc, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for i, n, digest in spans(split(text or ""), sentences, words):
-                    place = (doc is None, doc or 0, own, i)
-                    known = held.get(digest)
-                    if known is None:
-                        held[digest] = (place, n)
-                    elif place > known[0]:
-                        rows.append(later(place, n))
-                    elif place < known[0]:
-                        rows.append(later(*known))
-                        held[digest] = (place, n)
-                if len(rows) >= 50_000:
+            for from_ in range(0, batch.num_rows, 128):
+                part = batch.slice(from_, 128)
+                for doc, own, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    for i, n, digest in spans(split(text or ""), sentences, words):
+                        place = (doc is None, doc or 0, own, i)
+                        known = held.get(digest)
+                        if known is None:
+                            held[digest] = (place, n)
+                        elif place > known[0]:
+                            rows.append(later(place, n))
+                        elif place < known[0]:
+                            rows.append(later(*known))
+                            held[digest] = (place, n)
+                if len(rows) >= 20_000:
                     yield batch_of(rows)
                     rows = []
                 if len(held) >= HELD:

@@ -64,7 +64,7 @@ class Hashes(dict):
     """word -> hash, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         found = self[word] = word_hash(word)
         return found
@@ -81,7 +81,7 @@ class Numbers(dict):
         return self.places.get(h, len(self.places))
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         found = self[word] = self.number(word_hash(word))
         return found
@@ -227,9 +227,9 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     def run(batches):
         known = Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
+            for at in range(0, batch.num_rows, 512):
                 found = Counter()
-                for text, y, fold in zip(*(c.slice(at, 1024).to_pylist() for c in batch.columns), strict=True):
+                for text, y, fold in zip(*(c.slice(at, 512).to_pylist() for c in batch.columns), strict=True):
                     hashes = [known[w] for w in words_of(text)]
                     slot = y * FOLDS + fold
                     found.update((v, w, slot) for v, w in zip([START, *hashes], hashes))

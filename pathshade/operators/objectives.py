@@ -120,11 +120,12 @@ class Original:
         return nodes.select("agent", "path", "v", score.alias("score"))
 
     def scores(self, picked: Sequence[int]) -> DataFrame:
-        """(agent, path, score)."""
-        return self.scored(picked).groupBy("agent", "path").agg(F.max("score").alias("score"))
+        """(agent, path, score), from the nodes that are reached alone."""
+        got = self.path_nodes.join(state(self.weights, picked), "v").groupBy("agent", "path").agg(F.sum(self.psi(F.col("m"))).alias("x"))
+        return self.paths.join(got, ["agent", "path"], "left").select("agent", "path", (F.coalesce("x", F.lit(0.0)) - self.lam * F.col("len")).alias("score"))
 
     def agent_values(self, picked: Sequence[int]) -> DataFrame:
-        return self.scored(picked).groupBy("agent").agg(F.max("score").alias("value"))
+        return self.scores(picked).groupBy("agent").agg(F.max("score").alias("value"))
 
     def value(self, picked: Sequence[int]) -> DataFrame:
         return self.agent_values(picked).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))

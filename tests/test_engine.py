@@ -389,6 +389,7 @@ def test_tries_are_never_broadcast(spark, monkeypatch, few):
 
 FAR_APART = {
     "shortest_path_dag": lambda gr, pt, one_way, edges, agents: gr.shortest_path_dag(edges, agents, symmetric=True),
+    "corridor": lambda gr, pt, one_way, edges, agents: gr.corridor(edges, agents, 1, True),
 }
 
 

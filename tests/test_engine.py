@@ -390,6 +390,7 @@ def test_tries_are_never_broadcast(spark, monkeypatch, few):
 FAR_APART = {
     "shortest_path_dag": lambda gr, pt, one_way, edges, agents: gr.shortest_path_dag(edges, agents, symmetric=True),
     "corridor": lambda gr, pt, one_way, edges, agents: gr.corridor(edges, agents, 1, True),
+    "reachable": lambda gr, pt, one_way, edges, agents: gr.reachable(one_way, agents),
     "dag_counts": lambda gr, pt, one_way, edges, agents: pt.dag_counts(gr.shortest_path_dag(edges, agents, symmetric=True), agents),
     "dag_draws": lambda gr, pt, one_way, edges, agents: pt.dag_draws(dag := gr.shortest_path_dag(edges, agents, symmetric=True), pt.dag_counts(dag, agents), agents, 2),
 }

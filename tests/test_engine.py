@@ -436,6 +436,19 @@ def test_dense_rounds_agree_with_joins(spark, monkeypatch, kind):
     assert [(u, round(x, 9)) for u, x in made[0][1]] == [(u, round(x, 9)) for u, x in made[1][1]]
 
 
+def test_original_method_makes_no_row_a_weight(spark, monkeypatch):
+    from pathshade.plans.methods import Context, run
+
+    g = Grid(4, 4)
+    w = soft_weights(grid_edges(spark, g), candidates(spark, g), SoftDecay(0.5, 2)).cache()
+    agents = spark.createDataFrame([(i, (i * 5) % 16, (i * 11 + 3) % 16) for i in range(12) if (i * 5) % 16 != (i * 11 + 3) % 16], "agent long, s long, t long")
+    pn = distinct_paths(lattice_draws(agents, 4, 6), 3).cache()
+    s = Sample(pn, path_lengths(pn))
+    want = ids(ob.Original(w, pn, s.paths, Psi("log1p"), 0.25), 2)
+    monkeypatch.setattr(ob.Original, "scored", None)  # the rows that weights are joined with
+    assert run("greedy_original_full", Context(spark, w, candidates(spark, g), nodes(spark, g), s, Config(k=2, psi=Psi("log1p"), lam=0.25)))["S_pick"] == want
+
+
 def test_smart_places_copy_inputs(spark, tmp_path, monkeypatch):
     from pathshade.plans.cli import main
     from pathshade.plans.locations import copy, located, on_disk
